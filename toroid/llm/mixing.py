@@ -7,8 +7,8 @@ a source never change, so what is taken misses its target by one undecided docum
 
 The steps form a reduction tree. Documents are dealt at random into blocks of bounded size; each block is folded to
 one undecided document; those are dealt into blocks again, until one last fold for each source. A random reserve of
-documents skips the tree and joins the last fold, which goes from large to small, so that what stays undecided there
-is a small document.
+documents skips the tree and joins the last fold. A fold goes from large to small, so that what stays undecided is a
+small document.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from toroid.llm.common import WORD, materialise
 #: Documents in a block, and documents of a source kept for its last fold (both on average).
 BLOCK = 128
 RESERVE = 256
+#: What an item of the tree carries: p is its fraction, whole its certain copies.
+FIELDS = ["key", "size", "p", "whole", "id", "source", "source_size", "target"]
 #: Sources up to this number are broadcast (about 50 bytes each).
 BROADCAST_SOURCES = 10_000
 
@@ -57,31 +59,52 @@ def _unit(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(2**53))
 
 
-def _fold(items: str, seed: int) -> str:
-    """SQL that folds an array of (key, size, p, ...) to struct(held, out): at most one undecided item, and the decided.
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for body with name bound to value."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    Moving mass: up is the most that x can give to the one held (until one of them is integral), down the reverse. With
-    chance down / (up + down) the held one gains `up`, else it loses `down`, so expectations stay as they are.
+
+def _fold(items: str, seed: int, id_type: str) -> str:
+    """SQL that folds an array of items, large to small, to struct(held, out): one undecided item or none, and the decided.
+
+    Each step pairs the largest undecided item x with the merged rest, whose words expected are `mass` and words free
+    are `room`. x may gain up to g or lose up to l words; it gains with chance l / (g + l), so expectations stay. What
+    x gains or loses the rest gives or takes in proportion, which maps every later p to alpha * p + beta. If
+    the rest runs out first it is decided (all 0 or all 1) and x alone is held.
     """
-    item = "struct<key:bigint,size:bigint,p:double,whole:int,id:{id},source:string,source_size:bigint,target:double>"
-    up = "least((1 - a.held.p) * a.held.size, x.p * x.size)"
-    down = "least(a.held.p * a.held.size, (1 - x.p) * x.size)"
-    take = f"shiftrightunsigned(xxhash64(a.held.key, x.key, {seed}), 11) / 9007199254740992D * ({up} + {down}) < {down}"
-    # after a gain the held one is full or x is empty; after a loss the held one is empty or x is full
-    held_gain = f"if((1 - a.held.p) * a.held.size <= x.p * x.size, 1D, a.held.p + x.p * x.size / a.held.size)"
-    x_gain = f"if((1 - a.held.p) * a.held.size < x.p * x.size, x.p - (1 - a.held.p) * a.held.size / x.size, 0D)"
-    held_loss = f"if(a.held.p * a.held.size <= (1 - x.p) * x.size, 0D, a.held.p - (1 - x.p) * x.size / a.held.size)"
-    x_loss = f"if(a.held.p * a.held.size < (1 - x.p) * x.size, x.p + a.held.p * a.held.size / x.size, 1D)"
+    item = f"struct<key:bigint,size:bigint,p:double,whole:int,id:{id_type},source:string,source_size:bigint,target:double>"
+
+    def put(p: str) -> str:
+        return f"named_struct('key', x.key, 'size', x.size, 'p', {p}, 'whole', x.whole, 'id', x.id, 'source', x.source, 'source_size', x.source_size, 'target', x.target)"
+
+    def state(alpha: str, beta: str, mass: str, room: str, held: str, out: str) -> str:
+        return f"named_struct('alpha', {alpha}, 'beta', {beta}, 'mass', {mass}, 'room', {room}, 'held', {held}, 'out', {out})"
 
-    def put(s: str, p: str) -> str:
-        return f"named_struct('key', {s}.key, 'size', {s}.size, 'p', {p}, 'whole', {s}.whole, 'id', {s}.id, 'source', {s}.source, 'source_size', {s}.source_size, 'target', {s}.target)"
+    def out(p: str) -> str:
+        return f"array_append(a.out, {put(p)})"
 
-    def settle(h: str, x: str) -> str:
-        """The two new states: whichever is still between 0 and 1 is held, the other goes out."""
-        return f"if({h} > 0D and {h} < 1D, named_struct('held', {put('a.held', h)}, 'out', array_append(a.out, {put('x', x)})), named_struct('held', {put('x', x)}, 'out', array_append(a.out, {put('a.held', h)})))"
+    gain = f"if((1 - s.p) * x.size <= s.mass, {state('a.alpha * (1 - t.g / s.mass)', 'a.beta * (1 - t.g / s.mass)', 's.mass - t.g', 's.room + t.g', 'a.held', out('1D'))}, {state('0D', '0D', '0D', '0D', put('s.p + t.g / x.size'), 'a.out')})"
+    loss = f"if(s.p * x.size <= s.room, {state('a.alpha * (1 - t.l / s.room)', '1 - (1 - a.beta) * (1 - t.l / s.room)', 's.mass + t.l', 's.room - t.l', 'a.held', out('0D'))}, {state('0D', '1D', '0D', '0D', put('s.p - t.l / x.size'), 'a.out')})"
+    pair = f"if(t.g + t.l <= 0, {state('a.alpha', 'a.beta', 's.mass', 's.room', put('s.p'), 'a.out')}, if(shiftrightunsigned(xxhash64(x.key, {seed}), 11) / 9007199254740992D * (t.g + t.l) < t.l, {gain}, {loss}))"
+    pair = _let("named_struct('g', least((1 - s.p) * x.size, s.mass), 'l', least(s.p * x.size, s.room))", "t", pair)
+    settled = state("a.alpha", "a.beta", "s.mass", "s.room", "a.held", out("round(s.p)"))
+    step = f"if(s.p < 1e-9 or s.p > 1 - 1e-9, {settled}, {pair})"
+    step = _let("named_struct('p', q.p, 'mass', greatest(0D, a.mass - q.p * x.size), 'room', greatest(0D, a.room - (1 - q.p) * x.size))", "s", step)
+    step = _let("named_struct('p', greatest(0D, least(1D, a.alpha * x.p + a.beta)))", "q", step)
+    total = f"aggregate({items}, named_struct('mass', 0D, 'room', 0D), (z, y) -> named_struct('mass', z.mass + y.p * y.size, 'room', z.room + (1 - y.p) * y.size))"
+    start = _let(total, "w", state("1D", "0D", "w.mass", "w.room", f"cast(null as {item})", f"cast(array() as array<{item}>)"))
+    return f"aggregate({items}, {start}, (a, x) -> {step}, a -> named_struct('held', a.held, 'out', a.out))"
 
-    step = f"if(a.held is null, named_struct('held', x, 'out', a.out), if({take}, {settle(held_gain, x_gain)}, {settle(held_loss, x_loss)}))"
-    return f"aggregate({items}, named_struct('held', cast(null as {item}), 'out', cast(array() as array<{item}>)), (a, x) -> {step})"
+
+#: Large to small; the key breaks ties, so that the order doesn't depend on partitions.
+_SORT = "(l, r) -> case when l.size > r.size then -1 when l.size < r.size then 1 when l.key < r.key then -1 when l.key > r.key then 1 else 0 end"
+
+
+def _folded(items: DataFrame, by: list[str], seed: int) -> DataFrame:
+    """Column f, the fold of the items of each group (of bounded size), and the group's largest _n."""
+    id_type = dict(items.dtypes)["id"]
+    group = F.expr(f"array_sort(collect_list(struct({', '.join(FIELDS)})), {_SORT})").alias("items")
+    return items.groupBy(*by).agg(F.max("_n").alias("_n"), group).select("_n", F.expr(_fold("items", seed, id_type)).alias("f"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 42, block: int = BLOCK, reserve: int = RESERVE) -> DataFrame:
@@ -96,8 +119,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     sources = materialise(source_targets(sources, "source", weights, most))
-    id_type = dict(sized.dtypes)["id"]
-
     n_sources, largest = sources.agg(F.count("*"), F.max("_n")).first()
     side = sources.withColumnRenamed("source", "_s")
     side = F.broadcast(side) if n_sources <= BROADCAST_SOURCES else side
@@ -105,30 +126,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = sized.join(side, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_rate", F.least(rate, F.lit(float(most))))
     rows = rows.select("id", "source", "size", "source_size", "target", "_n", F.xxhash64("_h", F.lit(seed)).alias("key"), F.floor("_rate").cast("int").alias("whole"), (F.col("_rate") - F.floor("_rate")).alias("p"))
     settled = rows.where((F.col("size") == 0) | (F.col("p") == 0)).withColumn("p", F.lit(0.0))
-    fields = ["key", "size", "p", "whole", "id", "source", "source_size", "target"]
-    # An open item: its level's number of items in the source sets the number of blocks.
     open_ = rows.where((F.col("size") > 0) & (F.col("p") > 0)).withColumn("_last", (F.col("_n") <= block + reserve) | (_unit(F.col("key"), F.lit(seed + 1)) * F.col("_n") < reserve))
-    decided = [settled.select(*fields)]
-    final = [open_.where("_last").select(*fields)]
-    open_, left, level = open_.where("not _last"), largest or 0, 0
+    last, open_ = open_.where("_last").select("_n", *FIELDS), open_.where("not _last").select("_n", *FIELDS)
+    out, left, level = settled.select(*FIELDS), largest or 0, 0
     while left > block + reserve:
         level += 1
         blocks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(block) ** level)))
         dealt = open_.withColumn("_block", F.pmod(F.xxhash64("key", F.lit(seed + 1 + level)), blocks))
-        grouped = dealt.groupBy("source", "_block").agg(F.max("_n").alias("_n"), F.expr(f"array_sort(collect_list(struct({', '.join(fields)})), (l, r) -> case when l.size > r.size then -1 when l.size < r.size then 1 when l.key < r.key then -1 when l.key > r.key then 1 else 0 end)").alias("items"))
-        folded = materialise(grouped.select("_n", F.expr(_fold("items", seed).format(id=id_type)).alias("f")))
-        decided.append(folded.select(F.explode("f.out").alias("o")).select("o.*"))
+        folded = materialise(_folded(dealt, ["source", "_block"], seed))
+        out = out.unionByName(folded.select(F.explode("f.out").alias("o")).select("o.*"))
         open_ = folded.where("f.held is not null").select("_n", "f.held.*")
         left = -(-left // block)
-    final.append(open_.select(*fields))
-    last = final[0].unionByName(final[1])
-    grouped = last.groupBy("source").agg(F.expr(f"array_sort(collect_list(struct({', '.join(fields)})), (l, r) -> case when l.size > r.size then -1 when l.size < r.size then 1 when l.key < r.key then -1 when l.key > r.key then 1 else 0 end)").alias("items"))
-    folded = grouped.select(F.expr(_fold("items", seed).format(id=id_type)).alias("f"))
-    end = F.expr(f"if(f.held is null, f.out, array_append(f.out, named_struct('key', f.held.key, 'size', f.held.size, 'p', if(shiftrightunsigned(xxhash64(f.held.key, {seed}), 11) / 9007199254740992D < f.held.p, 1D, 0D), 'whole', f.held.whole, 'id', f.held.id, 'source', f.held.source, 'source_size', f.held.source_size, 'target', f.held.target)))")
-    decided.append(folded.select(F.explode(end).alias("o")).select("o.*"))
-    out = decided[0]
-    for more in decided[1:]:
-        out = out.unionByName(more)
+    end = _folded(last.unionByName(open_), ["source"], seed)
+    # What is undecided now is one document of a source: it is taken with the chance it has left.
+    chance = F.when(_unit(F.col("key"), F.lit(seed + 2)) < F.col("p"), 1.0).otherwise(0.0)
+    end = end.select(F.explode(F.expr("if(f.held is null, f.out, array_append(f.out, f.held))")).alias("o")).select("o.*").withColumn("p", F.when(F.col("p").isin(0.0, 1.0), F.col("p")).otherwise(chance))
+    out = out.unionByName(end)
     copies = (F.col("whole") + F.col("p")).cast("int")
     return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
