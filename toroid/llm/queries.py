@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toroid.llm.common import table
+from toroid.llm.decontaminate import find_overlaps
 from toroid.llm.exact_dedup import find_copies
 from toroid.llm.mixing import mix
+from toroid.llm.simhash import near_duplicates
 
 ID = "doc_id"
 
@@ -18,12 +20,23 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(ID, "size", "source_size", "target", "taken")
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(ID, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(table(spark, sf_dir, "documents")).select(ID, "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
