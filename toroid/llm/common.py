@@ -62,3 +62,17 @@ def join_on_hot_key(rows: DataFrame, groups: DataFrame, key: list[str], size: st
     few = marked.where(F.col("_hot").isNull()).drop("_hot").join(groups.where(F.col(size) <= limit), key, how)
     many = rows.join(hot, key, "inner").drop("_hot")
     return few.unionByName(many)
+
+
+#: Ids up to this number are broadcast to filter rows (about 40 bytes each).
+BROADCAST_IDS = 200_000
+
+
+def rows_by_id(rows: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """rows with (left_semi) or without (left_anti) an id among ids, null ids included.
+
+    Few ids are broadcast after a count; many are the built side of a shuffled hash join, so rows are never sorted.
+    """
+    ids = ids.select(F.col(id_col).alias("_wanted"))
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_wanted")), how)

@@ -108,7 +108,7 @@ def _folded(items: DataFrame, by: list[str], seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 42, block: int = BLOCK, reserve: int = RESERVE) -> DataFrame:
-    """How often the mix takes each row of docs: id, size, source, source_size, target, copies, taken.
+    """How often the mix takes each row of docs: id, size, source, source_size, target, copies, taken, and key for take().
 
     size is the number of words (null text: 0), taken = copies * size, copies <= most rounded up. Null is a source of
     its own. Every row is decided on its own, also rows that repeat an id; a row of no words takes its whole part only,
@@ -143,12 +143,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     end = end.select(F.explode(F.expr("if(f.held is null, f.out, array_append(f.out, f.held))")).alias("o")).select("o.*").withColumn("p", F.when(F.col("p").isin(0.0, 1.0), F.col("p")).otherwise(chance))
     out = out.unionByName(end)
     copies = (F.col("whole") + F.col("p")).cast("int")
-    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "key")
 
 
-def take(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs repeated as decided by mix(), with copy_no from 1; rows that share an id are matched one to one."""
-    nth = Window.partitionBy(id_col).orderBy(F.lit(0))
-    counts = decisions.groupBy(id_col).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    rows = docs.withColumn("_nth", F.row_number().over(nth)).join(counts.withColumnRenamed(id_col, "_id"), F.col(id_col).eqNullSafe(F.col("_id")))
-    return rows.withColumn("copy_no", F.explode(F.expr("if(element_at(_copies, _nth) > 0, sequence(1, element_at(_copies, _nth)), array())"))).drop("_nth", "_copies", "_id")
+def take(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, repeat: bool = True) -> DataFrame:
+    """docs as decided by mix() (same seed): every row copies times with copy_no from 1, or once with repeat=False.
+
+    Rows that are not taken are gone. Decisions are few bytes a row, so they are the built side of a shuffled hash
+    join and no text is sorted; only where rows repeat an id and its text are such rows numbered to match one to one.
+    """
+    wanted = [c for c in decisions.columns if c not in docs.columns and c != "key"]
+    chosen = decisions.select(F.col("key").alias("_key"), *wanted)
+    rows = docs.withColumn("_row", F.xxhash64(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(seed)))
+    if chosen.groupBy("_key").count().where("count > 1").limit(1).count():
+        chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("copies")))
+        rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0))))
+        joined = rows.join(chosen, (F.col("_row") == F.col("_key")) & (F.col("_nth") == F.col("_n"))).drop("_n", "_nth")
+    else:
+        joined = rows.join(chosen.hint("shuffle_hash"), F.col("_row") == F.col("_key"))
+    joined = joined.where("copies > 0").drop("_row", "_key")
+    return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies")))) if repeat else joined

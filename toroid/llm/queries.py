@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from toroid.llm import quality, toxicity
 from toroid.llm.chat import digests, format_chats
 from toroid.llm.common import table
 from toroid.llm.decontaminate import find_overlaps
@@ -15,6 +16,7 @@ from toroid.llm.language import identify, learn
 from toroid.llm.mixing import mix
 from toroid.llm.simhash import near_duplicates
 from toroid.llm.token_counts import LIMIT, count_tokens
+from toroid.llm.url_filter import judge
 
 ID = "doc_id"
 #: A text that looks like the template's own control strings.
@@ -41,6 +43,20 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(ID, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.learn(docs.where(~held_out(5, 0)), labels.where(~held_out(5, 0)))
+    scored = docs.select(ID, held_out(5, 0).alias("held_out"), quality.quality_score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs.where(~held_out(5, 0)), labels.where(~held_out(5, 0)))
+    scored = docs.select(ID, held_out(5, 0).alias("held_out"), toxicity.toxicity_score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], turns.schema)
@@ -61,14 +77,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(table(spark, sf_dir, "documents")).select(ID, "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
