@@ -10,22 +10,27 @@ from pyspark.sql import functions as F
 from toroid import config as C
 from toroid.functions import physics as P
 from toroid.functions.numbers import MISSING
-from toroid.operators.normalise import case_sensitive, column_mapping, rename
+from toroid.operators.normalise import case_sensitive, column_mapping, rename, renamed
 
 
 def read_samples(spark: SparkSession, path: str, kind: str | None = None) -> tuple[DataFrame, dict[str, str]]:
     """A file's rows under canonical column names, and the mapping used. kind: csv or parquet (by the path's end if None).
 
     CSV columns are text with missing-value tokens as null; numbers are made of them by coercion, not by inference, so
-    no extra pass over the file is needed. Names that differ only in case are told apart.
+    no extra pass over the file is needed. CSV names that differ only in case are told apart; a Parquet file with such names
+    can be read only in a session with spark.sql.caseSensitive set.
     """
     kind = kind or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     with case_sensitive(spark):
-        df = spark.read.csv(path, header=True, inferSchema=False, multiLine=False) if kind == "csv" else spark.read.parquet(path)
-        if kind == "csv":
-            df = df.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in df.columns])
-        mapping = column_mapping(df.columns)
-        return rename(df, mapping), mapping
+        names = (spark.read.csv(path, header=True, inferSchema=False) if kind == "csv" else spark.read.parquet(path)).columns
+    mapping = column_mapping(names)
+    if kind == "csv":
+        # read by position: a scan under the session's own setting could not tell such names apart
+        own = [f"c{i}" for i in range(len(names))]
+        df = spark.read.csv(path, header=True, enforceSchema=True, schema=", ".join(f"{c} string" for c in own))
+        df = df.select(*[F.when(~F.col(c).isin(*MISSING), F.col(c)).alias(c) for c in own])
+        return df.toDF(*renamed(names, mapping)), mapping
+    return rename(spark.read.parquet(path), mapping), mapping
 
 
 def resolve_source(path: str | None, allow_synthetic: bool) -> tuple[str | None, str]:
