@@ -126,9 +126,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         sure.append(((share - n) / np.sqrt(max(n * (1 - n), 1e-9) / max(1, n_shown)), word))
     chosen = sorted(w for s, w in sorted(sure, reverse=True)[:FEATURES] if s >= SURE)
     vocabulary = {w: i for i, w in enumerate(chosen)}
-    to_new = F.create_map(*[F.lit(v) for w, i in vocabulary.items() for v in (numbers[w], i)]) if chosen else F.create_map().cast("map<int,int>")
-    x = F.filter(F.transform("x", lambda i: F.try_element_at(to_new, i)), lambda i: i.isNotNull())
-    train = present.select("id", x.alias("x")).join(toxic.select("id", F.lit(True).alias("positive")), "id", "left").select("id", "x", F.coalesce("positive", F.lit(False)).alias("positive"))
+    new = np.full(len(numbers) + 1, -1, np.int32)
+    for word, i in vocabulary.items():
+        new[numbers[word]] = i
+
+    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            found = new[lists.flatten().to_numpy(zero_copy_only=False)]
+            before = np.r_[0, np.cumsum(found >= 0)]
+            ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), pa.array(found[found >= 0]))], ["id", "x"])
+
+    chosen_rows = present.mapInArrow(renumber, f"id {id_type}, x array<int>")
+    train = chosen_rows.join(toxic.select("id", F.lit(True).alias("positive")), "id", "left").select("id", "x", F.coalesce("positive", F.lit(False)).alias("positive"))
     return Toxicity(vocabulary, fit_shards(train, len(chosen), prior, decay=2e-4))
 
 
