@@ -3,7 +3,8 @@
 Each document of a source is to be taken rate = target / size of source times. The whole part is certain; the
 fraction is rounded by pivotal steps: two undecided documents meet, words of expected mass move from one to the other
 at random so that neither expectation changes, and at least one of them becomes 0 or 1. The words expected from
-a source never change, so what is taken misses its target by one undecided document at most.
+a source never change, so what is taken misses its target by one undecided document at most. (One exception: a document
+that outweighs all that is left of its source at the end is decided by what fits, as its own chance would cost the target.)
 
 The steps form a reduction tree. Documents are dealt at random into blocks of bounded size; each block is folded to
 one undecided document; those are dealt into blocks again, until one last fold for each source. A random reserve of
@@ -64,13 +65,14 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _fold(items: str, seed: int, id_type: str) -> str:
+def _fold(items: str, seed: int, id_type: str, last: bool) -> str:
     """SQL that folds an array of items, large to small, to struct(held, out): one undecided item or none, and the decided.
 
     Each step pairs the largest undecided item x with the merged rest, whose words expected are `mass` and words free
     are `room`. x may gain up to g or lose up to l words; it gains with chance l / (g + l), so expectations stay. What
     x gains or loses the rest gives or takes in proportion, which maps every later p to alpha * p + beta. If
-    the rest runs out first it is decided (all 0 or all 1) and x alone is held.
+    the rest runs out first it is decided (all 0 or all 1) and x alone is held. In the last fold nothing comes after
+    to make up for what is held, so there x takes the one way that decides it if the other would exhaust the rest.
     """
     item = f"struct<key:bigint,size:bigint,p:double,whole:int,id:{id_type},source:string,source_size:bigint,target:double>"
 
@@ -85,7 +87,11 @@ def _fold(items: str, seed: int, id_type: str) -> str:
 
     gain = f"if((1 - s.p) * x.size <= s.mass, {state('a.alpha * (1 - t.g / s.mass)', 'a.beta * (1 - t.g / s.mass)', 's.mass - t.g', 's.room + t.g', 'a.held', out('1D'))}, {state('0D', '0D', '0D', '0D', put('s.p + t.g / x.size'), 'a.out')})"
     loss = f"if(s.p * x.size <= s.room, {state('a.alpha * (1 - t.l / s.room)', '1 - (1 - a.beta) * (1 - t.l / s.room)', 's.mass + t.l', 's.room - t.l', 'a.held', out('0D'))}, {state('0D', '1D', '0D', '0D', put('s.p - t.l / x.size'), 'a.out')})"
-    pair = f"if(t.g + t.l <= 0, {state('a.alpha', 'a.beta', 's.mass', 's.room', put('s.p'), 'a.out')}, if(shiftrightunsigned(xxhash64(x.key, {seed}), 11) / 9007199254740992D * (t.g + t.l) < t.l, {gain}, {loss}))"
+    rises = f"shiftrightunsigned(xxhash64(x.key, {seed}), 11) / 9007199254740992D * (t.g + t.l) < t.l"
+    if last:
+        fills, empties = "((1 - s.p) * x.size <= s.mass)", "(s.p * x.size <= s.room)"
+        rises = f"if({fills} = {empties}, {rises}, {fills})"
+    pair = f"if(t.g + t.l <= 0, {state('a.alpha', 'a.beta', 's.mass', 's.room', put('s.p'), 'a.out')}, if({rises}, {gain}, {loss}))"
     pair = _let("named_struct('g', least((1 - s.p) * x.size, s.mass), 'l', least(s.p * x.size, s.room))", "t", pair)
     settled = state("a.alpha", "a.beta", "s.mass", "s.room", "a.held", out("round(s.p)"))
     step = f"if(s.p < 1e-9 or s.p > 1 - 1e-9, {settled}, {pair})"
@@ -100,11 +106,11 @@ def _fold(items: str, seed: int, id_type: str) -> str:
 _SORT = "(l, r) -> case when l.size > r.size then -1 when l.size < r.size then 1 when l.key < r.key then -1 when l.key > r.key then 1 else 0 end"
 
 
-def _folded(items: DataFrame, by: list[str], seed: int) -> DataFrame:
+def _folded(items: DataFrame, by: list[str], seed: int, last: bool = False) -> DataFrame:
     """Column f, the fold of the items of each group (of bounded size), and the group's largest _n."""
     id_type = dict(items.dtypes)["id"]
     group = F.expr(f"array_sort(collect_list(struct({', '.join(FIELDS)})), {_SORT})").alias("items")
-    return items.groupBy(*by).agg(F.max("_n").alias("_n"), group).select("_n", F.expr(_fold("items", seed, id_type)).alias("f"))
+    return items.groupBy(*by).agg(F.max("_n").alias("_n"), group).select("_n", F.expr(_fold("items", seed, id_type, last)).alias("f"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 42, block: int = BLOCK, reserve: int = RESERVE) -> DataFrame:
@@ -137,7 +143,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         out = out.unionByName(folded.select(F.explode("f.out").alias("o")).select("o.*"))
         open_ = folded.where("f.held is not null").select("_n", "f.held.*")
         left = -(-left // block)
-    end = _folded(last.unionByName(open_), ["source"], seed)
+    end = _folded(last.unionByName(open_), ["source"], seed, last=True)
     # What is undecided now is one document of a source: it is taken with the chance it has left.
     chance = F.when(_unit(F.col("key"), F.lit(seed + 2)) < F.col("p"), 1.0).otherwise(0.0)
     end = end.select(F.explode(F.expr("if(f.held is null, f.out, array_append(f.out, f.held))")).alias("o")).select("o.*").withColumn("p", F.when(F.col("p").isin(0.0, 1.0), F.col("p")).otherwise(chance))
