@@ -4,7 +4,7 @@ Fixed masks select some token positions of a window and ignore the others; a see
 so a window still hits when the ignored tokens were changed. Seeds of the benchmark and of the documents are joined,
 and around each hit the two token sequences are compared position by position on the hit's diagonal.
 
-Document windows are screened inside the scan by a bitmap of the benchmark's seeds, of a fixed size whatever the size
+Document windows are screened inside the scan by a bitmap of the benchmark's seeds, of a bounded size whatever the size
 of the benchmark; what passes goes into an exact join.
 """
 
@@ -26,8 +26,8 @@ LEAST_ITEM = 5
 #: Matching tokens and share of matches that an overlap needs; an item under LEAST_MATCH / SHARE tokens needs the share alone.
 LEAST_MATCH = 12
 SHARE = 0.75
-#: The screen has 2**SCREEN_BITS bits (2 MB).
-SCREEN_BITS = 24
+#: Bits of the screen for each benchmark seed, and the limits of its size as powers of two (128 kB, 32 MB). A seed sets two bits.
+BITS_A_SEED, LEAST_BITS, MOST_BITS = 1024, 20, 28
 #: Tokens that are kept on both sides of a hit.
 CONTEXT = 64
 #: Characters that are worked on at once; a longer text is one piece.
@@ -105,11 +105,20 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())])))], ["item_id", "tokens", "seeds"])
 
 
-def _regions(screen, masks: list[str]):
+def _passes(screen: np.ndarray, bits: int, found: np.ndarray) -> np.ndarray:
+    """Whether the screen has both bits of each seed."""
+    good = np.ones(len(found), bool)
+    for at in (found >> np.uint64(64 - bits), found & np.uint64((1 << bits) - 1)):
+        at = at.astype(np.int64)
+        good &= (screen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return good
+
+
+def _regions(screen, bits: int, masks: list[str]):
     """The stretches of each document that hold screened hits, with CONTEXT tokens around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(screen.value, np.uint8)
+        held = np.frombuffer(screen.value, np.uint8)
         for batch in batches:
             ids, starts, tokens, hits, kept = batch.column(0), [], [], [], []
             for first, texts in _pieces(batch.column(1).to_pylist()):
@@ -117,8 +126,7 @@ def _regions(screen, masks: list[str]):
                 all_seeds, all_at = [], []
                 for mask in masks:
                     s, at = seeds(h, owner, mask)
-                    top = (s >> np.uint64(64 - SCREEN_BITS)).astype(np.int64)
-                    good = (bits[top >> 3] >> (top & 7).astype(np.uint8)) & 1 == 1
+                    good = _passes(held, bits, s)
                     all_seeds.append(s[good])
                     all_at.append(at[good])
                 s, at = np.concatenate(all_seeds), np.concatenate(all_at)
@@ -187,13 +195,14 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pair = "array<struct<seed:bigint,at:int>>"
     items = materialise(benchmark.select(item_col, F.col(item_text).cast("string")).mapInArrow(_items, f"item_id {item_type}, tokens array<bigint>, seeds {pair}"))
     known = items.select("item_id", F.explode("seeds").alias("s")).select("item_id", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"))
-    top = F.shiftrightunsigned("seed", 64 - SCREEN_BITS)
-    screen = np.zeros(1 << SCREEN_BITS - 15, "V4096")
-    for row in known.groupBy(F.shiftright(top, 15).alias("k")).agg(F.bitmap_construct_agg(top.bitwiseAND(F.lit(32767))).alias("b")).collect():
+    bits = min(MOST_BITS, max(LEAST_BITS, (known.count() * BITS_A_SEED).bit_length()))
+    places = known.select(F.explode(F.array(F.shiftrightunsigned("seed", 64 - bits), F.col("seed").bitwiseAND(F.lit((1 << bits) - 1)))).alias("at"))
+    screen = np.zeros(1 << bits - 15, "V4096")
+    for row in places.groupBy(F.shiftright("at", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("b")).collect():
         screen[row.k] = bytes(row.b)
     short = [r.n for r in items.select(F.size("tokens").alias("n")).where(f"n between {LEAST_ITEM} and 9").distinct().collect()]
     held = spark.sparkContext.broadcast(screen.tobytes())
-    regions = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(_regions(held, [*MASKS, *("1" * n for n in sorted(short))]), f"id {id_type}, start int, tokens array<bigint>, hits {pair}")
+    regions = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(_regions(held, bits, [*MASKS, *("1" * n for n in sorted(short))]), f"id {id_type}, start int, tokens array<bigint>, hits {pair}")
     regions = materialise(regions.withColumn("region", F.monotonically_increasing_id()))
     hits = regions.select("region", F.explode("hits").alias("h")).select("region", F.col("h.seed").alias("seed"), F.col("h.at").alias("doc_at"))
     diagonals = hits.join(known, "seed").select("region", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
