@@ -19,6 +19,8 @@ from toroid.llm.common import materialise
 from toroid.llm.pu import Linear, class_prior, fit_shards
 
 THRESHOLD = 0.3
+#: Rows of a shard, and weight of the squared weights in the fit.
+SHARD, DECAY = 16_384, 3e-4
 _LOWER, _UPPER, _DIGIT = bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789"
 _SPACE, _PLAIN, _OPEN = b" \t\n\r\x0b\x0c", b".,;:'\"-?", b"|{}<>[]\\/_=+~^`@"
 _ODD = b"!#$%&*"
@@ -97,7 +99,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def expand(raw: pd.Series) -> pd.Series:
         return pd.Series(list(shape.expand(np.stack(raw.to_numpy())).astype(np.float32))) if len(raw) else pd.Series([], dtype=object)
 
-    linear = fit_shards(rows.select("id", "positive", expand("raw").alias("x")), WIDTH, prior)
+    linear = fit_shards(rows.select("id", "positive", expand("raw").alias("x")), WIDTH, prior, shard=SHARD, decay=DECAY)
     return Quality(mean, scale, linear)
 
 
