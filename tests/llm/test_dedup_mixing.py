@@ -146,3 +146,11 @@ def test_take_repeats_documents(spark):
     out = take(df, decisions)
     assert out.count() == decisions.agg(F.sum("copies")).first()[0]
     assert take(df, decisions, repeat=False).count() == decisions.where("copies > 0").count()
+
+
+def test_take_with_clashing_columns(spark):
+    df = docs(spark, [(i, f"t {i}" + " w" * (i % 5), "abc"[i % 3]) for i in range(30)]).withColumns({"copies": F.lit("x"), "size": F.lit("y"), "key": F.lit("k"), "taken": F.lit(0)})
+    decisions = mix(df)
+    out = take(df, decisions, repeat=False)
+    assert {r.doc_id: r.taken for r in out.collect()} == {r.doc_id: r.taken for r in decisions.collect() if r.copies}
+    assert set(out.columns) == {*df.columns, "source_size", "target"} and out.first().key == "k"

@@ -25,6 +25,8 @@ BLOCK = 128
 RESERVE = 256
 #: What an item of the tree carries: p is its fraction, whole its certain copies.
 FIELDS = ["key", "size", "p", "whole", "id", "source", "source_size", "target"]
+#: Columns that take() adds to documents.
+DECIDED = ("size", "source_size", "target", "copies", "taken")
 #: Sources up to this number are broadcast (about 50 bytes each).
 BROADCAST_SOURCES = 10_000
 
@@ -157,15 +159,16 @@ def take(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col
 
     Rows that are not taken are gone. Decisions are few bytes a row, so they are the built side of a shuffled hash
     join and no text is sorted; only where rows repeat an id and its text are such rows numbered to match one to one.
+    Columns of docs that are named like a decision (size, target, copies, taken, source_size) are replaced.
     """
-    wanted = [c for c in decisions.columns if c not in docs.columns and c != "key"]
-    chosen = decisions.select(F.col("key").alias("_key"), *wanted)
+    wanted = [c for c in decisions.columns if c not in (id_col, "key") and (c not in docs.columns or c in DECIDED)]
+    chosen = decisions.select(F.col("key").alias("_key"), *[F.col(c).alias(f"_d_{c}") for c in wanted])
     rows = docs.withColumn("_row", F.xxhash64(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(seed)))
     if chosen.groupBy("_key").count().where("count > 1").limit(1).count():
-        chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("copies")))
+        chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_d_copies")))
         rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0))))
         joined = rows.join(chosen, (F.col("_row") == F.col("_key")) & (F.col("_nth") == F.col("_n"))).drop("_n", "_nth")
     else:
         joined = rows.join(chosen.hint("shuffle_hash"), F.col("_row") == F.col("_key"))
-    joined = joined.where("copies > 0").drop("_row", "_key")
+    joined = joined.where("_d_copies > 0").drop("_row", "_key", *wanted).withColumnsRenamed({f"_d_{c}": c for c in wanted})
     return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies")))) if repeat else joined
