@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from toroid import config as C
 from toroid.functions.numbers import to_number
+from toroid.operators.quantiles import quantile
 
 
 def _count_nulls(df: DataFrame) -> list[Column]:
@@ -33,15 +34,10 @@ def profile(df: DataFrame) -> DataFrame:
     return long.select("column_name", F.element_at(types, F.col("column_name")).alias("dtype"), "nulls", F.col("_rows").alias("row_count"), F.lit(len(df.columns)).alias("column_count"))
 
 
-def quantile(c: Column, share: float, exact: bool = True) -> Column:
-    """An interpolated quantile; exact=False bounds memory whatever the number of distinct values."""
-    return F.percentile(c, share) if exact else F.percentile_approx(c, share, 10_000)
-
-
 def target_distribution(df: DataFrame, target: str = C.TARGET, exact: bool = True) -> DataFrame:
     """One row: min, median, mean, max of the target, missing values left out."""
     y = to_number(F.col(target), df.schema[target].dataType)
-    return df.agg(F.min(y).alias("target_min"), quantile(y, 0.5, exact).alias("target_median"), F.avg(y).alias("target_mean"), F.max(y).alias("target_max"))
+    return df.agg(F.min(y).alias("target_min"), F.lit(quantile(df, y, 0.5, exact)).cast("double").alias("target_median"), F.avg(y).alias("target_mean"), F.max(y).alias("target_max"))
 
 
 def audit(df: DataFrame, canonical: bool = False, exact: bool = True) -> dict:

@@ -17,18 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toroid import config as C
-from toroid.operators.audit import quantile
 from toroid.operators.metrics import PREDICTED, fold_summary, regression_metrics
+from toroid.operators.quantiles import quantile, quantiles
 
 Family = Callable[[DataFrame, list[str]], PipelineModel]
 _LOG = "_log_prediction"
 
 
 def medians(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, float | None]:
-    """The median of each column in one aggregation; None where it is all missing."""
-    if not columns:
-        return {}
-    return df.agg(*[quantile(F.col(c), 0.5, exact).alias(c) for c in columns]).first().asDict()
+    """The median of each column, all columns together; None where it is all missing."""
+    return quantiles(df, {c: (F.col(c), 0.5) for c in columns}, exact)
 
 
 def impute(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
@@ -51,7 +49,7 @@ def log_label(df: DataFrame) -> DataFrame:
 
 def fit_baseline(df: DataFrame, features: list[str], exact: bool = True) -> PipelineModel:
     """Predicts the median of the log-scaled target."""
-    middle = log_label(df).agg(quantile(F.col("_label"), 0.5, exact)).first()[0]
+    middle = quantile(log_label(df), "_label", 0.5, exact)
     return PipelineModel([SQLTransformer(statement=f"SELECT *, {middle!r}D AS {_LOG} FROM __THIS__"), _back()])
 
 

@@ -20,6 +20,7 @@ from toroid.operators import shots as H
 from toroid.operators import splits as S
 from toroid.operators import validate as V
 from toroid.operators.features import engineer
+from toroid.operators.quantiles import quantile
 from toroid.sources.samples import read_samples, synthetic_shots
 from toroid.sources.shared import materialise, new_path, table
 from toroid.sources.sinks import write_table
@@ -548,6 +549,6 @@ def batch_score(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shots collapsed and described, with Lawson status and whether a high predicted yield contradicts the physics."""
     df = engineer(H.aggregate_shots(X.samples(spark, sf_dir), X.TIES))
-    limit = df.agg(A.quantile(F.col("surrogate_yield"), C.HIGH_YIELD_QUANTILE).alias("_limit"))
-    flagged = df.crossJoin(F.broadcast(limit)).withColumn("mismatch", (F.col("surrogate_yield") >= F.col("_limit")) & (F.col("lawson_ratio") < C.LOW_LAWSON_RATIO))
+    limit = quantile(df, "surrogate_yield", C.HIGH_YIELD_QUANTILE)
+    flagged = df.withColumn("mismatch", (F.col("surrogate_yield") >= F.lit(limit).cast("double")) & (F.col("lawson_ratio") < C.LOW_LAWSON_RATIO))
     return flagged.select("shot_id", "triple_product", "lawson_ratio", P.lawson_status(F.col("lawson_ratio")).alias("status"), "tau_E_ipb98_s", C.TARGET, "mismatch")
