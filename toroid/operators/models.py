@@ -65,18 +65,18 @@ def _fit_trees(df: DataFrame, features: list[str], regressor, exact: bool = True
     return PipelineModel([*before, model, _back()])
 
 
-def fit_random_forest(df: DataFrame, features: list[str], trees: int = 400, depth: int = 14, exact: bool = True) -> PipelineModel:
-    return _fit_trees(df, features, RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="all", maxBins=255, maxMemoryInMB=1024, seed=C.SEED), exact)
+def fit_random_forest(df: DataFrame, features: list[str], trees: int = 400, depth: int = 14, bins: int = 255, exact: bool = True) -> PipelineModel:
+    return _fit_trees(df, features, RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="all", maxBins=bins, maxMemoryInMB=1024, seed=C.SEED), exact)
 
 
-def fit_boosting(df: DataFrame, features: list[str], rounds: int = 350, depth: int = 8, exact: bool = True) -> PipelineModel:
-    return _fit_trees(df, features, GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=0.05, minInstancesPerNode=20, maxBins=255, maxMemoryInMB=1024, checkpointInterval=10, seed=C.SEED), exact)
+def fit_boosting(df: DataFrame, features: list[str], rounds: int = 350, depth: int = 8, bins: int = 255, exact: bool = True) -> PipelineModel:
+    return _fit_trees(df, features, GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=0.05, minInstancesPerNode=20, maxBins=bins, maxMemoryInMB=1024, checkpointInterval=10, seed=C.SEED), exact)
 
 
-def registry(trees: int = 400, tree_depth: int = 14, rounds: int = 350, boost_depth: int = 8, exact: bool = True) -> dict[str, Family]:
+def registry(trees: int = 400, tree_depth: int = 14, rounds: int = 350, boost_depth: int = 8, bins: int = 255, exact: bool = True) -> dict[str, Family]:
     return {
-        "baseline": partial(fit_baseline, exact=exact), "random_forest": partial(fit_random_forest, trees=trees, depth=tree_depth, exact=exact),
-        "hist_gradient_boosting": partial(fit_boosting, rounds=rounds, depth=boost_depth, exact=exact),
+        "baseline": partial(fit_baseline, exact=exact), "random_forest": partial(fit_random_forest, trees=trees, depth=tree_depth, bins=bins, exact=exact),
+        "hist_gradient_boosting": partial(fit_boosting, rounds=rounds, depth=boost_depth, bins=bins, exact=exact),
     }
 
 

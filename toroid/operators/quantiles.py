@@ -1,8 +1,9 @@
 """Exact quantiles of whole tables in bounded memory.
 
-A percentile aggregate holds every distinct value of a column in one buffer. Here the range of a column is cut into
-bins, the bin that holds the wanted rank is cut again, and so on until the rank's value is known: each pass counts
-BINS rows for a column, whatever the size of the table, and three or four passes are the rule.
+A percentile aggregate holds every distinct value of a column in one buffer. Here a sketch brackets the wanted rank, a
+count makes sure that it does, and the bracket is cut into bins, the bin that holds the rank is cut again, and so on
+until the rank's value is known. A pass counts BINS rows for a column, whatever the size of the table, and works only on
+rows in a bracket, which are few.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 BINS = 2048
 #: Relative accuracy of the approximate way is one in this number of rows.
 ACCURACY = 10_000
+#: Accuracy of the sketch that brackets a rank, and how far (as a share of all rows) the bracket reaches to both sides.
+ROUGH, REACH = 1_000, 0.004
 
 
 class _Search:
@@ -33,6 +36,14 @@ class _Search:
             elif low == high:
                 self.found[rank] = low
 
+    def bracket(self, low: float | None, high: float | None, below: int, above: int, n: int) -> None:
+        """Look only between low and high if the ranks lie there; below and above are the rows outside."""
+        if low is None or any(not below <= r < n - above for r in self.open()):
+            return
+        self.low, self.high, self.below = low, high, below
+        if low == high:
+            self.found |= dict.fromkeys(self.open(), low)
+
     def ranks(self) -> list[int]:
         return [self.k, self.k + 1] if self.part else [self.k]
 
@@ -80,18 +91,25 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], exact: boo
     for i in range(len(names)):
         c = F.col(f"q{i}")
         fine = F.when(F.abs(c) < inf, c)
-        first.append(F.struct(F.count(c), F.count_if(c == -inf), F.count_if(c == inf), F.min(fine), F.max(fine)).alias(f"q{i}"))
+        share = wanted[names[i]][1]
+        rough = F.percentile_approx(fine, [max(0.0, share - REACH), min(1.0, share + REACH)], ROUGH)
+        first.append(F.struct(F.count(c), F.count_if(c == -inf), F.count_if(c == inf), F.min(fine), F.max(fine), rough).alias(f"q{i}"))
     ranges = rows.agg(*first).first()
-    searches = {i: _Search(*ranges[i], wanted[name][1]) for i, name in enumerate(names) if ranges[i][0]}
+    searches = {i: _Search(*ranges[i][:5], wanted[name][1]) for i, name in enumerate(names) if ranges[i][0]}
+    if rough := {i: ranges[i][5] for i, s in searches.items() if s.open() and ranges[i][5]}:
+        outside = rows.agg(*[F.struct(F.count_if(F.col(f"q{i}") < F.lit(a)), F.count_if(F.col(f"q{i}") > F.lit(b))).alias(f"q{i}") for i, (a, b) in rough.items()]).first()
+        for i, (a, b) in rough.items():
+            searches[i].bracket(a, b, *outside[f"q{i}"], ranges[i][0])
     while still := {i: s for i, s in searches.items() if s.open()}:
-        parts = []
+        parts, near = [], F.lit(False)
         for i, s in still.items():
             c = F.col(f"q{i}")
             # halves, so that the range of the largest doubles doesn't overflow
             bin_ = F.least(F.lit(BINS - 1), F.floor((c / 2 - F.lit(s.low / 2)) / F.lit(s.high / 2 - s.low / 2) * BINS)).cast("int")
             inside = (c >= F.lit(s.low)) & (c <= F.lit(s.high))
+            near = near | inside
             parts.append(F.when(inside, F.struct(F.lit(i).alias("column"), bin_.alias("bin"), c.alias("value"))))
-        counted = rows.select(F.explode(F.array_compact(F.array(*parts))).alias("p")).groupBy("p.column", "p.bin").agg(F.count("*").alias("n"), F.min("p.value").alias("low"), F.max("p.value").alias("high"))
+        counted = rows.where(near).select(F.explode(F.array_compact(F.array(*parts))).alias("p")).groupBy("p.column", "p.bin").agg(F.count("*").alias("n"), F.min("p.value").alias("low"), F.max("p.value").alias("high"))
         bins: dict[int, list] = {i: [] for i in still}
         for r in counted.collect():
             bins[r["column"]].append((r["bin"], r["n"], r["low"], r["high"]))

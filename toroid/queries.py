@@ -30,7 +30,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 KEY = ("shot_id", *X.TIES)
 #: Tree sizes in queries; full sizes are the defaults of the families.
-SMALL = {"trees": 20, "tree_depth": 8, "rounds": 20, "boost_depth": 5}
+SMALL = {"trees": 8, "tree_depth": 6, "rounds": 8, "boost_depth": 4, "bins": 64}
 
 
 def query(sql: str | None = None, plain: bool = False) -> Callable[[Query], Query]:
@@ -381,7 +381,7 @@ def _holdout_metrics(model, test: DataFrame, features: list[str], baseline) -> D
 def rf_predict(spark, sf_dir):
     """Predictions of a small forest for the held-out shots."""
     train, test, features = _trained_rows(spark, sf_dir)
-    model = L.fit_random_forest(train, features, SMALL["trees"], SMALL["tree_depth"])
+    model = L.fit_random_forest(train, features, SMALL["trees"], SMALL["tree_depth"], SMALL["bins"])
     return L.predict(model, test).select(*KEY, C.TARGET, M.PREDICTED)
 
 
@@ -389,7 +389,7 @@ def rf_predict(spark, sf_dir):
 def gbt_predict(spark, sf_dir):
     """Predictions of short boosting for the held-out shots."""
     train, test, features = _trained_rows(spark, sf_dir)
-    model = L.fit_boosting(train, features, SMALL["rounds"], SMALL["boost_depth"])
+    model = L.fit_boosting(train, features, SMALL["rounds"], SMALL["boost_depth"], SMALL["bins"])
     return L.predict(model, test).select(*KEY, C.TARGET, M.PREDICTED)
 
 
@@ -449,7 +449,7 @@ def holdout_comparison(spark, sf_dir):
 
 def _importance(spark, sf_dir) -> DataFrame:
     train, _, features = _trained_rows(spark, sf_dir)
-    model = L.fit_random_forest(train, features, SMALL["trees"], SMALL["tree_depth"])
+    model = L.fit_random_forest(train, features, SMALL["trees"], SMALL["tree_depth"], SMALL["bins"])
     return spark.createDataFrame(L.importance(model, features), "feature string, importance double")
 
 
@@ -532,7 +532,7 @@ _GOOD = "broken = '' AND NOT coalesce(a_m >= R_m, false)"
 def score_features(spark, sf_dir):
     """Features of the requests that are sound after defaults were filled in."""
     requests, defaults = _request_parts(spark, sf_dir)
-    filled = R.fill(R.validated(requests), defaults)
+    filled = materialise(R.fill(R.validated(requests), defaults))
     sound = filled.where((F.size("broken") == 0) & (F.size(R.broken_rules([c for c in filled.columns if c != "broken"])) == 0))
     return engineer(sound).select(*KEY[:-1], r6("lawson_ratio").alias("lawson_ratio"), r6("tau_E_ipb98_s").alias("tau_e_ipb98_s"))
 
