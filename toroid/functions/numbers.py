@@ -13,8 +13,8 @@ MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 
 
 def no_nan(c: Column) -> Column:
-    """c with NaN as null; NaN would otherwise count as the largest value."""
-    return F.when(~F.isnan(c), c)
+    """c (a double) with NaN as null; NaN would otherwise count as the largest value."""
+    return F.nanvl(c, F.lit(None).cast("double"))  # evaluates c once
 
 
 def is_number(text: Column) -> Column:
