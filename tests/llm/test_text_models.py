@@ -222,3 +222,16 @@ def test_trees_learn_what_urls_look_like(spark):
     rows += [(5000, "http://w1.other.test/" + "8" * 30 + "?a=3&b=4&c=5"), (5001, "http://w1.other.test/news")]
     got = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
     assert got[5000].verdict == "block" and got[5001].verdict == "allow"
+
+
+def test_rare_positives_reach_every_shard(spark):
+    rng = np.random.default_rng(3)
+    y = np.arange(4000) % 500 == 0
+    x = rng.normal(0, 1, (4000, 2)) + np.outer(y, [6, 0])
+    rows = spark.createDataFrame([(i, a.tolist(), bool(k)) for i, (a, k) in enumerate(zip(x, y))], "id long, x array<double>, positive boolean")
+    whole = pu.fit(x, y, 0.01)
+    dealt = pu.fit_shards(rows, 2, 0.01, shard=100)
+    assert dealt.weights[0] > 0.8 * whole.weights[0]
+    assert (dealt.score(x[y]) > 0.5).sum() == (whole.score(x[y]) > 0.5).sum() > 0
+    none = pu.fit_shards(rows.where("not positive"), 2, 0.01, shard=100)
+    assert none.score(x[:9]) == pytest.approx(np.full(9, 0.01))

@@ -7,7 +7,8 @@ With class prior p, positives P and unlabelled rows U, the risk of a score f und
 The second term estimates the loss on negatives, which no row shows; where it would fall below zero it has started to
 fit noise and is stepped back instead. Rows are dealt at random into shards of bounded size, a linear classifier is
 fitted to each in a task of its own, and the weights are averaged: every row takes part, and no task or the driver holds
-more than a shard or a weight vector.
+more than a shard or a weight vector. The two means of the risk are apart, so positives are dealt apart from unlabelled
+rows: where they are too few for all shards, several shards get the same ones, and no shard is without.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a shard, on average.
 SHARD = 4096
+#: Positives of a shard, on average, at least; fewer in all, and each shard gets all of them.
+POSITIVES = 256
 
 
 @dataclass(frozen=True)
@@ -43,12 +46,17 @@ def fit(x: np.ndarray, positive: np.ndarray, prior: float, decay: float = 1e-3,
 
     Full gradients with Adam, so the result depends on the rows alone. Without a positive row the score is the prior.
     """
+    return fit_apart(x, x[positive], prior, decay, steps, rate)
+
+
+def fit_apart(x: np.ndarray, known: np.ndarray, prior: float, decay: float = 1e-3, steps: int = 400, rate: float = 0.05) -> Linear:
+    """fit with unlabelled rows x and positive rows `known`, whether or not they are among x."""
     n, d = x.shape
     odds = float(np.log(prior / (1 - prior)))
-    if not positive.any():
+    if not len(known):
         return Linear(np.zeros(d), odds)
     w, b = np.zeros(d), odds
-    m, v, known = np.zeros(d + 1), np.zeros(d + 1), x[positive]
+    m, v = np.zeros(d + 1), np.zeros(d + 1)
     for step in range(1, steps + 1):
         zp, zu = known @ w + b, x @ w + b
         sp, su = sigmoid(zp), sigmoid(zu)
@@ -67,27 +75,39 @@ def fit(x: np.ndarray, positive: np.ndarray, prior: float, decay: float = 1e-3,
 
 def fit_shards(rows: DataFrame, width: int, prior: float, seed: int = 42, shard: int = SHARD, **options) -> Linear:
     """The average of classifiers fitted to shards of rows (id, x, positive); x is an array of features or, as
-    array<int>, the numbers of the features that are 1. No rows: the score is the prior."""
+    array<int>, the numbers of the features that are 1. Each shard has some of the positives, or all where they are few.
+    No rows, or none that is positive: the score is the prior."""
     sparse = dict(rows.dtypes)["x"] == "array<int>"
-    n = rows.count()
+    n, known = rows.agg(F.count("*"), F.count_if("positive")).first()
+    if not known:
+        return Linear(np.zeros(width), float(np.log(prior / (1 - prior))))
     shards = max(1, round(n / shard))
+    copies = min(shards, -(-POSITIVES * shards // known))
+
+    def features(values: pd.Series) -> np.ndarray:
+        if not sparse:
+            return np.stack(values.to_numpy()).astype(float)
+        x = np.zeros((len(values), width))
+        for i, on in enumerate(values):
+            x[i, np.asarray(on, int)] = 1
+        return x
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        if sparse:
-            x = np.zeros((len(group), width))
-            for i, on in enumerate(group["x"]):
-                x[i, np.asarray(on, int)] = 1
-        else:
-            x = np.stack(group["x"].to_numpy()).astype(float)
-        found = fit(x, group["positive"].to_numpy(bool), prior, **options)
+        shown = group["positive"].to_numpy(bool)
+        if shown.all() or not shown.any():
+            return pd.DataFrame({"at": np.empty(0, np.int32), "weight": np.empty(0)})
+        found = fit_apart(features(group["x"][~shown]), features(group["x"][shown]), prior, **options)
         return pd.DataFrame({"at": np.arange(width + 1, dtype=np.int32), "weight": np.r_[found.weights, found.bias]})
 
-    dealt = rows.select("x", "positive", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).alias("shard"))
+    own = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards))
+    first = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(shards))
+    dealt = rows.select("x", F.lit(False).alias("positive"), own.alias("shard"))
+    dealt = dealt.unionByName(rows.where("positive").select("x", F.lit(True).alias("positive"), F.explode(F.sequence(first, first + copies - 1)).alias("shard")).withColumn("shard", F.pmod("shard", F.lit(shards))))
     means = dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(one, "at int, weight double").groupBy("at").agg(F.avg("weight").alias("weight")).collect()
     weights = np.zeros(width + 1)
     for row in means:
         weights[row["at"]] = row["weight"]
-    return Linear(weights[:-1], float(weights[-1])) if n else Linear(weights[:-1], float(np.log(prior / (1 - prior))))
+    return Linear(weights[:-1], float(weights[-1]))
 
 
 def class_prior(labels: DataFrame, label_col: str) -> float:
