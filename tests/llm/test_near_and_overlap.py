@@ -167,3 +167,19 @@ def test_passage_deep_in_a_long_text(spark):
     df = spark.createDataFrame([(1, text), (2, "filler " * 1000)], "doc_id long, text string")
     got = find_overlaps(df, spark.createDataFrame([(7, " ".join(item))], "item_id int, text string")).collect()
     assert [(r.doc_id, r.item_id, r.matched, r.start) for r in got] == [(1, 7, 40, 50000)]
+
+
+def test_best_overlap_is_any_stretch_of_the_share():
+    item = np.arange(103)
+    doc = item.copy()
+    doc[np.flatnonzero((item >= 12) & ((item - 12) % 7 < 2))] = -1
+    m, n, at = best_overlap(doc, item, 0)
+    assert m >= 12 and m >= 0.75 * n and m == (doc == item)[at : at + n].sum()
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        item = np.arange(rng.integers(1, 25))
+        doc = np.where(rng.random(len(item)) < 0.65, item, -1)
+        same = doc == item
+        best = max(int(same[i:j].sum()) for i in range(len(item) + 1) for j in range(i, len(item) + 1) if same[i:j].sum() >= 0.75 * (j - i))
+        m, n, at = best_overlap(doc, item, 0)
+        assert m == best and m >= 0.75 * n and same[at : at + n].sum() == m

@@ -151,20 +151,27 @@ def _regions(screen, bits: int, masks: list[str]):
     return run
 
 
-def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
+def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, share: float = SHARE) -> tuple[int, int, int]:
     """(matches, length, start in doc) of the best stretch of doc against item on a diagonal (doc position - item position).
 
-    A match counts 1 and a mismatch -2, so a stretch goes on over single substitutions.
+    The best stretch has most matches of all in which `share` of the tokens match, and is the shortest of those.
     """
     lo, hi = max(0, diagonal), min(len(doc), diagonal + len(item))
     if hi <= lo:
         return 0, 0, 0
     same = doc[lo:hi] == item[lo - diagonal : hi - diagonal]
-    sums = np.r_[0, np.cumsum(np.where(same, 1, -2))]
-    lows = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - lows))
-    start = int(np.argmax(sums[: end + 1] == lows[end]))
-    return int(same[start:end].sum()), end - start, lo + start
+    matches = np.r_[0, np.cumsum(same)]
+    over = np.round(matches - share * np.arange(len(matches)), 9)  # does not fall over a stretch that has the share
+    first = np.searchsorted(-np.minimum.accumulate(over), -over)  # first start from which it does not fall, for each end
+    gained = matches - matches[first]
+    if not gained.any():
+        return 0, 0, 0
+    found = []
+    for end in np.flatnonzero(gained == gained.max()).tolist():
+        hit = np.flatnonzero(same[first[end] : end]) + first[end]
+        found.append((int(hit[-1] - hit[0] + 1), int(lo + hit[0])))
+    length, start = min(found)
+    return int(gained.max()), length, start
 
 
 def _verify(least: int, share: float):
@@ -174,7 +181,7 @@ def _verify(least: int, share: float):
             docs, items, turns = (batch.column(i) for i in (2, 3, 4))
             for i in range(batch.num_rows):
                 item = np.array(items[i].values)
-                m, n, at = best_overlap(np.array(docs[i].values), item, turns[i].as_py())
+                m, n, at = best_overlap(np.array(docs[i].values), item, turns[i].as_py(), share)
                 good = m >= share * n and m >= min(least, share * len(item))
                 found.append((m, n, at) if good else (None, None, None))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5), *(pa.array([f[k] for f in found], pa.int32()) for k in range(3))], ["id", "item_id", "start", "matched", "compared", "at"])
