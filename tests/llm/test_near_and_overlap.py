@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from toroid.llm.components import components
-from toroid.llm.decontaminate import best_overlap, find_overlaps, token_hashes
+from toroid.llm.decontaminate import SHORT_MASKS, best_overlap, find_overlaps, token_hashes
 from toroid.llm.simhash import _chain, fingerprint, links, near_duplicates
 
 
@@ -183,3 +183,32 @@ def test_best_overlap_is_any_stretch_of_the_share():
         best = max(int(same[i:j].sum()) for i in range(len(item) + 1) for j in range(i, len(item) + 1) if same[i:j].sum() >= 0.75 * (j - i))
         m, n, at = best_overlap(doc, item, 0)
         assert m == best and m >= 0.75 * n and same[at : at + n].sum() == m
+
+
+def test_short_masks_find_every_pattern_of_the_share():
+    for n in range(5, 10):
+        for bits in range(1 << n):
+            on = [bits >> i & 1 for i in range(n)]
+            if sum(on) >= 0.75 * n:
+                assert any(all(on[a + i] for i, c in enumerate(k) if c == "1") for k in SHORT_MASKS for a in range(n - len(k) + 1))
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    rng = random.Random(3)
+    items = {n: words(rng, n) for n in range(1, 10)}
+    bench = [(n, " ".join(w)) for n, w in items.items()] + [(20, "春眠暁を覚えず処処啼鳥を聞く"), (21, "你好吗")]
+    common, rows, want = [f"{w}q" for w in words(rng, 300)], [], set()
+    for n, item in items.items():
+        for k in range(-1, n):
+            part = [w if i != k else "other" for i, w in enumerate(item)]
+            doc, body = len(rows), [rng.choice(common) for _ in range(40)]
+            body[20:20] = part
+            rows.append((doc, " ".join(body)))
+            if k < 0 or n >= 5:
+                want.add((doc, n))
+    part = [w if i not in (2, 5) else "other" for i, w in enumerate(items[8])]
+    rows += [(100, " ".join(common[:9] + part)), (101, "彼は「春眠暁を覚えず、処処啼鳥を聞く」と言った。"), (102, "他说：你好吗？"), (103, "他说你很好"), (104, "夜来風雨の声")]
+    want |= {(100, 8), (101, 20), (102, 21)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = find_overlaps(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)

@@ -10,6 +10,7 @@ of the benchmark; what passes goes into an exact join.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,10 @@ from toroid.llm.common import materialise
 
 #: Positions of a window that a mask selects (1) or ignores (0).
 MASKS = ("11011011", "1110010111", "1010110101")
-#: Shortest benchmark item that is looked for: shorter phrases are common property, and clean documents hold them.
-LEAST_ITEM = 5
+#: Masks of items under SPACED tokens: one of them lies on matches wherever three quarters of LEAST_SPACED to SPACED - 1
+#: tokens match. Items under LEAST_SPACED tokens are looked for as they are.
+SHORT_MASKS = ("1111", "10111", "11011", "11101", "110011")
+LEAST_SPACED, SPACED = 5, 10
 #: Matching tokens and share of matches that an overlap needs; an item under LEAST_MATCH / SHARE tokens needs the share alone.
 LEAST_MATCH = 12
 SHARE = 0.75
@@ -35,6 +38,9 @@ PIECE = 1 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(128, 256)]] = True
+#: Characters of scripts without spaces (Thai, Lao, Burmese, Khmer, kana, Han) are tokens of their own; their marks are none.
+_ALONE = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+_MARKS = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\u30fb\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 _BASE, _MASK64 = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 
 
@@ -51,9 +57,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _apart(text: str) -> str:
+    """The text with spaces around each character of a script without spaces."""
+    return text if text.isascii() else _ALONE.sub(r" \1 ", _MARKS.sub(" ", text))
+
+
 def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens (runs of letters and digits, lower-cased) of all texts, and the text each belongs to."""
-    parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    """Hashes of the tokens of all texts, and the text each belongs to.
+
+    Tokens are runs of letters and digits, lower-cased, and the single characters of scripts without spaces.
+    """
+    parts = [_apart(t.lower()).encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", np.uint8)
     is_word = _WORD[data]
     turns = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
@@ -88,20 +102,29 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
             at, size = i + 1, 0
 
 
+def _masks(n: int) -> tuple[str, ...]:
+    """The masks of an item of n tokens."""
+    return MASKS if n >= SPACED else SHORT_MASKS if n >= LEAST_SPACED else ("1" * n,) if n else ()
+
+
+def _needed(n: int, least: int, share: float) -> float:
+    """Matching tokens that an overlap with an item of n tokens needs."""
+    return n if n < LEAST_SPACED else min(least, share * n)
+
+
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each benchmark item with its tokens and seeds (the first window of each seed)."""
+    """Each benchmark item with its tokens and seeds (the first window of each seed; all windows of a short item)."""
     for batch in batches:
         texts, tokens, found = batch.column(1).to_pylist(), [], []
         for t in texts:
             h, owner = token_hashes([t or ""])
-            own: dict[int, int] = {}
-            masks = MASKS if len(h) >= 10 else ["1" * len(h)] if len(h) >= LEAST_ITEM else []
-            for mask in masks:
+            own: dict[tuple[int, int], int] = {}
+            for mask in _masks(len(h)):
                 s, at = seeds(h, owner, mask)
                 for seed, where in zip(s.view(np.int64).tolist(), at.tolist()):
-                    own.setdefault(seed, where)
+                    own.setdefault((seed, where if len(h) < SPACED else 0), where)
             tokens.append(h.view(np.int64).tolist())
-            found.append([{"seed": k, "at": v} for k, v in own.items()])
+            found.append([{"seed": k, "at": v} for (k, _), v in own.items()])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())])))], ["item_id", "tokens", "seeds"])
 
 
@@ -129,9 +152,9 @@ def _regions(screen, bits: int, masks: list[str]):
                     good = _passes(held, bits, s)
                     all_seeds.append(s[good])
                     all_at.append(at[good])
-                s, at = np.concatenate(all_seeds), np.concatenate(all_at)
-                if not len(s):
+                if not sum(map(len, all_seeds)):
                     continue
+                s, at = np.concatenate(all_seeds), np.concatenate(all_at)
                 order = np.argsort(at, kind="stable")
                 s, at = s[order].view(np.int64), at[order]
                 cuts = np.flatnonzero((np.diff(at) > CONTEXT) | (np.diff(owner[at]) > 0)) + 1
@@ -182,7 +205,7 @@ def _verify(least: int, share: float):
             for i in range(batch.num_rows):
                 item = np.array(items[i].values)
                 m, n, at = best_overlap(np.array(docs[i].values), item, turns[i].as_py(), share)
-                good = m >= share * n and m >= min(least, share * len(item))
+                good = m > 0 and m >= share * n and m >= _needed(len(item), least, share)
                 found.append((m, n, at) if good else (None, None, None))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5), *(pa.array([f[k] for f in found], pa.int32()) for k in range(3))], ["id", "item_id", "start", "matched", "compared", "at"])
 
@@ -193,7 +216,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row for each document and benchmark item that overlap: id, item_id, matched, compared, start (token number).
 
     An overlap is a stretch of at least `least` matching tokens (or `share` of an item too short for that) in which
-    `share` of the tokens match. Items of under LEAST_ITEM tokens are not looked for. Null and empty texts overlap
+    `share` of the tokens match. Items of under LEAST_SPACED tokens overlap where all their tokens stand in a row. Null and empty texts overlap
     nothing; an empty table on either side gives an empty result; rows that repeat an id count as one document.
     Columns other than those named are not read.
     """
@@ -207,9 +230,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     screen = np.zeros(1 << bits - 15, "V4096")
     for row in places.groupBy(F.shiftright("at", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("b")).collect():
         screen[row.k] = bytes(row.b)
-    short = [r.n for r in items.select(F.size("tokens").alias("n")).where(f"n between {LEAST_ITEM} and 9").distinct().collect()]
+    lengths = [r.n for r in items.select(F.least(F.size("tokens"), F.lit(SPACED)).alias("n")).distinct().collect()]
+    masks = sorted({mask for n in lengths for mask in _masks(n)})
     held = spark.sparkContext.broadcast(screen.tobytes())
-    regions = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(_regions(held, bits, [*MASKS, *("1" * n for n in sorted(short))]), f"id {id_type}, start int, tokens array<bigint>, hits {pair}")
+    regions = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(_regions(held, bits, masks), f"id {id_type}, start int, tokens array<bigint>, hits {pair}")
     regions = materialise(regions.withColumn("region", F.monotonically_increasing_id()))
     hits = regions.select("region", F.explode("hits").alias("h")).select("region", F.col("h.seed").alias("seed"), F.col("h.at").alias("doc_at"))
     diagonals = hits.join(known, "seed").select("region", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
