@@ -5,7 +5,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from toroid.llm.exact_dedup import build_directory, drop_copies, find_copies
+from toroid.llm import exact_dedup
+from toroid.llm.exact_dedup import build_directory, directory_depth, drop_copies, find_copies
 from toroid.llm.mixing import mix, source_targets, take
 
 SCHEMA = "doc_id long, text string, source string, extra int"
@@ -26,7 +27,7 @@ def expected(rows):
     return {(i, hashlib.sha256((t or "").translate(LOWER).encode()).hexdigest(), max((x for x in groups[(t or "").translate(LOWER)] if x is not None), default=None), len(groups[(t or "").translate(LOWER)])) for i, t, _ in rows}
 
 
-@pytest.mark.parametrize("options", [{}, {"key_bits": 2, "capacity": 1, "max_depth": 4}])
+@pytest.mark.parametrize("options", [{}, {"key_bits": 2, "capacity": 1}, {"capacity": 1}])
 def test_copies(spark, options):
     got = find_copies(docs(spark, ROWS), **options).collect()
     assert len(got) == len(ROWS)
@@ -37,8 +38,30 @@ def test_copies(spark, options):
 
 
 def test_collisions_are_chained(spark):
-    got = find_copies(docs(spark, ROWS), key_bits=1, max_depth=3).collect()
+    got = find_copies(docs(spark, ROWS), key_bits=1).collect()
     assert max(r.chain_length for r in got) > 1
+    assert {r.chain_length for r in find_copies(docs(spark, ROWS)).collect()} == {1}
+
+
+def test_directory_doubles_and_owners_take_ranges(spark):
+    rows = [(i, f"text {i // 2}", "a") for i in range(400)]
+    got = find_copies(docs(spark, rows), capacity=10).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, i | 1, 2) for i in range(400)}
+    owner = {r.bucket: r.owner for r in got}
+    assert len(owner) > 16 and [owner[b] for b in sorted(owner)] == sorted(owner.values())
+    keys = Counter((r.bucket, r.text_sha256) for r in got)
+    assert max(Counter(b for b, _ in keys).values()) <= 10
+
+
+def test_results_come_from_the_index(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "build_directory", lambda counts, capacity, depth: [])
+    with pytest.raises(IndexError):
+        find_copies(docs(spark, ROWS))
+
+
+def test_many_repeated_texts_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_HASHES", 1)
+    assert {(r.doc_id, r.text_sha256, r.keep_id, r.group_size) for r in find_copies(docs(spark, ROWS)).collect()} == expected(ROWS)
 
 
 def test_drop_copies(spark):
@@ -62,6 +85,7 @@ def test_hot_group(spark):
 
 def test_directory_splits_only_overfull_buckets():
     counts = {p: 1 for p in range(8)} | {8: 100, 12: 3}
+    assert directory_depth(0, 10) == 2 and directory_depth(10**9, 10**4) == 19
     buckets = build_directory(counts, 10, 4)
     assert sum(b.keys for b in buckets) == sum(counts.values())
     covered = sorted(p for b in buckets for p in range(b.prefix << (4 - b.depth), (b.prefix + 1) << (4 - b.depth)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from toroid.sources.shared import materialise, table
 
-__all__ = ["BROADCAST_IDS", "HOT_LEAST", "HOT_SHARE", "LOWER", "UPPER", "WORD", "ascii_lower", "join_on_hot_key", "materialise", "rows_by_id", "table"]
+__all__ = ["BROADCAST_IDS", "HOT_LEAST", "HOT_SHARE", "LOWER", "UPPER", "WORD", "ascii_lower", "join_on_hot_key", "materialise", "rows_without", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -41,11 +41,12 @@ def join_on_hot_key(rows: DataFrame, groups: DataFrame, key: list[str], size: st
 BROADCAST_IDS = 200_000
 
 
-def rows_by_id(rows: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
-    """rows with (left_semi) or without (left_anti) an id among ids, null ids included.
+def rows_without(rows: DataFrame, gone: DataFrame, id_col: str, digest: Column) -> DataFrame:
+    """rows but those whose (id, digest) is in gone (two columns, in that order); null ids are compared like others.
 
-    Few ids are broadcast after a count; many are the built side of a shuffled hash join, so rows are never sorted.
+    Few are broadcast after a count; many are shuffled by both columns, which no key can make uneven, and sorted (both
+    sides of that join can spill).
     """
-    ids = ids.select(F.col(id_col).alias("_wanted"))
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_wanted")), how)
+    gone = gone.toDF("_gone_id", "_gone_digest")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (digest == F.col("_gone_digest")), "left_anti")

@@ -2,25 +2,28 @@
 
 Every row gets a 64-bit key of its normalised text. A directory of key prefixes starts as one bucket; it doubles (one
 more bit) for as long as a bucket holds more distinct keys than its capacity, and only overfull buckets split. Runs of
-adjacent buckets are owned by tasks, so an owner works on one range of keys. In a bucket, texts whose keys collide form
-a chain, and texts are the same only if their bytes are.
+adjacent buckets belong to owners, and each owner's task writes the index entries of its range of keys: for each
+text its number of rows and the row that stays. Keys that one row has need no text. The texts of the other keys are sent to
+the owners, who compare them byte by byte; different texts of one key form a chain. Rows look up their entry in the index.
 
-Everything runs as DataFrame operations. Copies are pre-aggregated before each shuffle, so a group that holds a third
-of all rows reaches its owner as one row for each map task.
+Everything runs as DataFrame operations. Each map task collapses its copies before they are sent to an owner, so a text
+that a third of all rows share reaches its owner as one row for each map task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from toroid.llm.common import ascii_lower, join_on_hot_key, materialise
+from toroid.llm.common import ascii_lower, join_on_hot_key, materialise, rows_without
 
-#: Most bits of a key that the directory looks at; the directory has 2**MAX_DEPTH counters at most.
-MAX_DEPTH = 14
+#: Distinct keys of a bucket, and of an owner. It grows with the table where the directory would have over MOST_BUCKETS.
+CAPACITY, MOST_BUCKETS = 16_384, 1 << 16
+#: Hashes of repeated texts up to this number are broadcast to the scan (about 40 bytes each).
+BROADCAST_HASHES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -33,11 +36,16 @@ class Bucket:
     owner: int = 0
 
 
-def build_directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> list[Bucket]:
+def directory_depth(keys: int, capacity: int) -> int:
+    """Bits by which keys are counted: two more than buckets of `capacity` keys would need on average."""
+    return max(0, -(-keys // capacity) - 1).bit_length() + 2
+
+
+def build_directory(counts: dict[int, int], capacity: int, max_depth: int) -> list[Bucket]:
     """Split buckets until none has over `capacity` keys or the directory is max_depth bits deep.
 
-    counts: number of keys by their first max_depth bits (2**max_depth counters at most). A bucket that is still
-    overfull at max_depth stays whole; it has more keys but no task holds them at once, as they stream through a sort.
+    counts: number of keys by their first max_depth bits. As max_depth follows the number of keys, hashed keys leave no
+    bucket overfull; one that is overfull all the same (tests shorten keys) stays whole and is read like the others.
     """
     pending, done = [Bucket(0, 0, sum(counts.values()))], []
     held: dict[tuple[int, int], int] = {}
@@ -63,12 +71,23 @@ def build_directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_
     return owned
 
 
-def _prefix(key: str, depth: int) -> F.Column:
-    return F.shiftrightunsigned(F.col(key), 64 - depth).cast("int")
+def _prefix(key: str, depth: int) -> Column:
+    """The first bits of a key, as a number (depth 2 at least)."""
+    return F.shiftrightunsigned(F.col(key), 64 - depth)
+
+
+def _routed(rows: DataFrame, directory: list[Bucket], depth: int, owners: int) -> DataFrame:
+    """rows sent to the task that owns the bucket of their _key, with the bucket's number and its owner.
+
+    The routes are one row for each slot of the directory, 8 * MOST_BUCKETS at most, so they can be broadcast.
+    """
+    slots = [(prefix, number, b.owner) for number, b in enumerate(directory) for prefix in range(b.prefix << (depth - b.depth), (b.prefix + 1) << (depth - b.depth))]
+    routes = F.broadcast(rows.sparkSession.createDataFrame(slots, "_p long, bucket int, owner int"))
+    return rows.withColumn("_p", _prefix("_key", depth)).join(routes, "_p").drop("_p").repartition(owners, "owner")
 
 
-def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 200_000, key_bits: int = 64, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One row for each row of docs: id, keep_id, group_size, kept, text_sha256, chain_length, owner, and _raw.
+def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key_bits: int = 64) -> DataFrame:
+    """One row for each row of docs: id, keep_id, group_size, kept, text_sha256, chain_length, bucket, owner, and _raw.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
     largest id stays (null ids come last). Rows that repeat both id and text are all listed, and one of them has kept.
@@ -76,48 +95,63 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns of docs other than the two named ones are not looked at. key_bits below 64 shortens keys, which tests use
     to force chains.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_raw")).withColumn("_norm", ascii_lower(F.col("_text")))
-    key = F.xxhash64("_norm")
-    if key_bits < 64:
-        key = F.shiftleft(F.shiftrightunsigned(key, 64 - key_bits), 64 - key_bits)
-    rows = rows.withColumn("_key", key)
-    entries = materialise(rows.select("_id", "_raw", "_key", F.unhex(F.sha2("_norm", 256)).alias("_sha"), F.monotonically_increasing_id().alias("_row")))
-
-    # Grouping by the text itself compares bytes; map tasks collapse copies before anything is shuffled.
-    texts = rows.groupBy("_key", "_norm").agg(F.count("*").alias("_n")).select("_key", "_n", F.unhex(F.sha2("_norm", 256)).alias("_sha"))
-    newest = entries.groupBy("_key", "_sha").agg(F.max(F.struct("_id", "_row")).alias("_keep"), F.count("*").alias("group_size"))
-    chained = materialise(texts.groupBy("_key", "_sha").agg(F.count("*").alias("_texts"), F.sum("_n").alias("_n")).join(newest, ["_key", "_sha"]))
-
-    counts = {r["_p"]: r["n"] for r in chained.groupBy(_prefix("_key", max_depth).alias("_p")).agg(F.count_distinct("_key").alias("n")).collect()}
-    directory = build_directory(counts, capacity, max_depth)
-    slots = [(prefix, b.owner) for b in directory for prefix in range(b.prefix << (max_depth - b.depth), (b.prefix + 1) << (max_depth - b.depth)) if prefix in counts]
-    routes = F.broadcast(spark.createDataFrame(slots, "_p int, owner int"))
-    owned = chained.withColumn("_p", _prefix("_key", max_depth)).join(routes, "_p")
-    owners = max((b.owner for b in directory), default=0) + 1
-    index = owned.repartition(owners, "owner").withColumn("chain_length", F.count("*").over(Window.partitionBy("owner", "_key")))
-    index = materialise(index.select("_key", "_sha", "group_size", "chain_length", "owner", F.col("_keep._id").alias("keep_id"), F.col("_keep._row").alias("_keep_row"), F.when((F.col("_texts") > 1) | (F.col("_n") != F.col("group_size")), F.raise_error(F.lit("two texts share a SHA-256 digest"))).alias("_ok")))
-    index = index.where(F.col("_ok").isNull()).drop("_ok")
-
-    total = index.agg(F.sum("group_size")).first()[0] or 0
+
+    def key_of(norm: Column) -> Column:
+        key = F.xxhash64(norm)
+        return F.shiftleft(F.shiftrightunsigned(key, 64 - key_bits), 64 - key_bits) if key_bits < 64 else key
+
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_raw"))
+    normal = rows.withColumn("_norm", ascii_lower(F.col("_text"))).withColumn("_key", key_of(F.col("_norm")))
+    entries = materialise(normal.select("_id", "_raw", "_key", F.unhex(F.sha2("_norm", 256)).alias("_sha"), F.monotonically_increasing_id().alias("_row")))
+
+    # The directory: keys counted by their first bits, buckets split where they are overfull.
+    keys = entries.agg(F.approx_count_distinct("_key")).first()[0]
+    capacity = max(capacity, -(-keys // MOST_BUCKETS))
+    depth = directory_depth(keys, capacity)
+    counts = {r["_p"]: r["n"] for r in entries.select("_key").distinct().groupBy(_prefix("_key", depth).alias("_p")).agg(F.count("*").alias("n")).collect()}
+    directory = build_directory(counts, capacity, depth)
+    owners = directory[-1].owner + 1
+
+    # Owners enter the rows of their keys, which map tasks have collapsed.
+    parts = ["_key", "_sha", "_raw"]
+    sent = entries.groupBy(F.spark_partition_id().alias("_task"), *parts).agg(F.count("*").alias("_n"), F.max(F.struct("_id", "_row")).alias("_keep")).drop("_task")
+    entered = _routed(sent, directory, depth, owners).groupBy("owner", "bucket", *parts).agg(F.sum("_n").alias("_n"), F.max("_keep").alias("_keep"))
+    entered = materialise(entered.withColumn("_rows", F.sum("_n").over(Window.partitionBy("owner", "_key"))))
+
+    # The texts of keys with several rows go to the owners too, who compare their bytes and chain those that differ.
+    total = entries.count()
+    repeated = entered.where("_rows > 1").groupBy("_raw").agg(F.sum("_n").alias("_n"))
+    few = repeated.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
+    texts = rows.select("_raw", "_text")
+    texts = texts.join(F.broadcast(repeated.select("_raw")), "_raw") if few else join_on_hot_key(texts, materialise(repeated), ["_raw"], "_n", total)
+    texts = texts.withColumn("_norm", ascii_lower(F.col("_text"))).withColumn("_key", key_of(F.col("_norm")))
+    texts = texts.groupBy(F.spark_partition_id().alias("_task"), "_key", "_norm").agg(F.count("*").alias("_n")).drop("_task")
+    chains = _routed(texts, directory, depth, owners).groupBy("owner", "_key", "_norm").agg(F.sum("_n").alias("_same"))
+    chains = materialise(chains.select("owner", "_key", "_same", F.unhex(F.sha2("_norm", 256)).alias("_sha"), F.count("*").over(Window.partitionBy("owner", "_key")).alias("chain_length")))
+    chains = chains.groupBy("owner", "_key", "_sha").agg(F.sum("_same").alias("_same"), F.max("chain_length").alias("chain_length"), F.count("*").alias("_texts"))
+
+    index = entered.groupBy("owner", "bucket", "_key", "_sha").agg(F.sum("_n").alias("_n"), F.max("_keep").alias("_keep")).join(chains, ["owner", "_key", "_sha"], "left")
+    size = F.coalesce("_same", F.lit(1))
+    wrong = F.when((F.coalesce("_texts", F.lit(1)) > 1) | (size != F.col("_n")), F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("boolean"))
+    index = index.select("owner", "bucket", "_key", "_sha", size.alias("group_size"), F.coalesce("chain_length", F.lit(1)).alias("chain_length"), F.col("_keep._id").alias("keep_id"), F.col("_keep._row").alias("_keep_row"), wrong.alias("_wrong"))
+    index = materialise(index).where("_wrong is null").drop("_wrong")
+
     joined = join_on_hot_key(entries, index, ["_key", "_sha"], "group_size", total)
     return joined.select(
-        F.col("_id").alias(id_col), "keep_id", F.col("group_size").cast("long"), (F.col("_row") == F.col("_keep_row")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"), "chain_length", "owner", "_raw",
+        F.col("_id").alias(id_col), "keep_id", F.col("group_size").cast("long"), (F.col("_row") == F.col("_keep_row")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"), "chain_length", "bucket", "owner", "_raw",
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each group of equal texts (see find_copies), all columns kept.
 
-    The decisions are small (id and a hash of the text), so they are the built side of a shuffled hash join and
-    no text is sorted. Where a row repeats both id and text, one copy stays.
+    Decisions are an id and a hash of the text. Where the rows that go are few, they are broadcast and no text moves.
+    Where a row repeats both id and text, one copy stays.
     """
-    kept = materialise(find_copies(docs, id_col, text_col, **options).select(F.col(id_col).alias("_keep_id"), "_raw", "kept"))
-    again = kept.groupBy("_keep_id", "_raw").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    keep = again.where("kept").select("_keep_id", F.col("_raw").alias("_keep_raw"))
-    raw = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    out = docs.join(keep.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_keep_id")) & (raw == F.col("_keep_raw")), "left_semi")
+    decided = materialise(find_copies(docs, id_col, text_col, **options).select(F.col(id_col).alias("_at_id"), "_raw", "kept"))
+    again = materialise(decided.groupBy("_at_id", "_raw").agg(F.count("*").alias("n"), F.max("kept").alias("kept")))
+    out = rows_without(docs, again.where("not kept").select("_at_id", "_raw"), id_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     if again.where("kept and n > 1").limit(1).count():
         out = out.dropDuplicates([id_col, text_col])
     return out
