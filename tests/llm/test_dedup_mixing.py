@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from toroid.llm import exact_dedup
 from toroid.llm.exact_dedup import build_directory, directory_depth, drop_copies, find_copies
-from toroid.llm.mixing import mix, source_targets, take
+from toroid.llm.mixing import FIELDS, mix, pair_fold, pool_fold, source_targets, take
 
 SCHEMA = "doc_id long, text string, source string, extra int"
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -128,7 +128,7 @@ def mixed_docs(spark, n=3000):
 
 def test_mix_meets_targets_and_reruns_agree(spark):
     df = mixed_docs(spark)
-    got = mix(df, block=16, reserve=32).collect()
+    got = mix(df, block=16, giant=20).collect()
     assert len(got) == 3000
     by = defaultdict(list)
     for r in got:
@@ -139,7 +139,7 @@ def test_mix_meets_targets_and_reruns_agree(spark):
         rate = rows[0].target / rows[0].source_size
         assert all(r.copies in (int(rate), int(rate) + 1) for r in rows)
     assert sum(rows[0].target for rows in by.values()) == pytest.approx(sum(r.size for r in got))
-    again = mix(df.repartition(5), block=16, reserve=32).collect()
+    again = mix(df.repartition(5), block=16, giant=20).collect()
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
 
 
@@ -147,7 +147,7 @@ def test_mix_is_unbiased(spark):
     df = mixed_docs(spark, 60)
     taken = Counter()
     for seed in range(30):
-        for r in mix(df, seed=seed, block=8, reserve=8).collect():
+        for r in mix(df, seed=seed, block=8, giant=6).collect():
             taken[r.source] += r.copies
     rates = {r.source: r.target / r.source_size for r in mix(df).collect()}
     n = Counter(r.source for r in df.collect())
@@ -155,6 +155,42 @@ def test_mix_is_unbiased(spark):
         assert taken[s] / 30 / n[s] == pytest.approx(rate, abs=0.2)
 
 
+def folds(spark, sizes, chances, sql, runs=20_000):
+    """Mean fraction of each item after `runs` folds of the same items under other keys, and the largest change of all words."""
+    items = F.array(*[F.struct(F.xxhash64("id", F.lit(i)).alias("key"), F.lit(n).cast("long").alias("size"), F.lit(p).cast("double").alias("p"), F.lit(0).alias("whole"), F.lit(i).cast("long").alias("id"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("source_size"), F.lit(1.0).alias("target")) for i, (n, p) in enumerate(zip(sizes, chances))])
+    done = spark.range(runs).select("id", items.alias("items")).select("id", F.expr(sql).alias("f")).select("id", F.explode(F.expr("if(f.held is null, f.out, array_append(f.out, f.held))")).alias("o"))
+    mean = [r.p for r in done.groupBy("o.id").agg(F.avg("o.p").alias("p")).orderBy("id").collect()]
+    words = done.groupBy("id").agg(F.sum(F.col("o.p") * F.col("o.size")).alias("w"), F.count_if(~F.col("o.p").isin(0.0, 1.0)).alias("u"))
+    return mean, *words.agg(F.min("w"), F.max("w"), F.max("u")).first()
+
+
+SIZES = [20_000, 900, 800, 350, 120, 60, 60, 9, 5, 1]
+
+
+@pytest.mark.parametrize("p", [0.07, 0.5, 0.8])
+def test_pool_steps_keep_every_expectation(spark, p):
+    for sizes in (SIZES, SIZES[1:]):
+        mean, least, most, undecided = folds(spark, sizes, [p] * len(sizes), pool_fold("items", "0L", 1, "bigint"))
+        assert mean == pytest.approx([p] * len(sizes), abs=4 * (p * (1 - p) / 20_000) ** 0.5)
+        assert least == pytest.approx(p * sum(sizes)) and most == pytest.approx(p * sum(sizes)) and undecided <= 1
+
+
+@pytest.mark.parametrize("chances", [[0.1, 0.9] * 5, [0.5] * 10, [0.9, 0.2, 0.3, 0.99, 0.01, 0.6, 0.4, 0.7, 0.05, 0.5]])
+def test_pair_steps_keep_every_expectation(spark, chances):
+    mean, least, most, undecided = folds(spark, SIZES, chances, pair_fold("items", 1, "bigint"))
+    assert mean == pytest.approx(chances, abs=4 * 0.5 / 20_000**0.5)
+    words = sum(n * p for n, p in zip(SIZES, chances))
+    assert least == pytest.approx(words) and most == pytest.approx(words) and undecided <= 1
+
+
+def test_large_documents_do_not_spoil_targets(spark):
+    sizes = [30_000, 9_000, 4_000] + [i % 90 + 1 for i in range(2000)]
+    df = spark.createDataFrame([(i, "w " * n, "ab"[i % 2]) for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    for seed in range(3):
+        got = mix(df, seed=seed).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()
+        assert all(abs(r.n - r.t) <= 45 for r in got)
+
+
 def test_mix_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "one two", "a"), (3, "one two", "a"), (None, "x y z", None), (4, "w " * 50000, "b")]
     got = mix(docs(spark, rows)).collect()
