@@ -184,7 +184,8 @@ def test_lookup_finds_what_words_lists():
     numbers = {w: i for i, w in enumerate(sorted(set().union(*map(toxicity.words, texts[:3]))))}
     lookup = toxicity.Lookup(numbers)
     for t in texts:
-        assert lookup.present(t) == sorted(numbers[w] for w in toxicity.words(t) if w in numbers)
+        assert lookup.present(t) == sorted(numbers[w] for w, n in toxicity.words(t).items() if w in numbers for _ in range(n))
+    assert toxicity.features([[0, 2, 2, 2], []], 3).tolist() == [[1, 0, 2], [0, 0, 0]]
 
 
 def test_urls(spark):
@@ -224,14 +225,63 @@ def test_trees_learn_what_urls_look_like(spark):
     assert got[5000].verdict == "block" and got[5001].verdict == "allow"
 
 
+#: A lambda, so that workers need not import this module.
+dense = lambda x: np.stack(x.to_numpy()).astype(float) if len(x) else np.empty((0, 2))
+
+
+def samples(spark, x, positive):
+    return spark.createDataFrame([(i, a.tolist(), bool(k)) for i, (a, k) in enumerate(zip(x, positive))], "id long, x array<double>, positive boolean")
+
+
+def auc(scores, y):
+    rank = np.argsort(np.argsort(scores)) + 1
+    return (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+
+
 def test_rare_positives_reach_every_shard(spark):
     rng = np.random.default_rng(3)
     y = np.arange(4000) % 500 == 0
     x = rng.normal(0, 1, (4000, 2)) + np.outer(y, [6, 0])
-    rows = spark.createDataFrame([(i, a.tolist(), bool(k)) for i, (a, k) in enumerate(zip(x, y))], "id long, x array<double>, positive boolean")
+    rows = samples(spark, x, y)
     whole = pu.fit(x, y, 0.01)
-    dealt = pu.fit_shards(rows, 2, 0.01, shard=100)
+    dealt = pu.fit_shards(rows, dense, 2, 0.01, shard=100)
     assert dealt.weights[0] > 0.8 * whole.weights[0]
     assert (dealt.score(x[y]) > 0.5).sum() == (whole.score(x[y]) > 0.5).sum() > 0
-    none = pu.fit_shards(rows.where("not positive"), 2, 0.01, shard=100)
+    none = pu.fit_shards(rows.where("not positive"), dense, 2, 0.01, shard=100)
     assert none.score(x[:9]) == pytest.approx(np.full(9, 0.01))
+
+
+def test_ten_times_the_web_with_the_same_positives(spark):
+    found = []
+    for n in (3000, 30_000):
+        rng = np.random.default_rng(4)
+        y = rng.random(n) < 0.3
+        x = rng.normal(0, 1, (n, 2)) + np.outer(y, [3, 0])
+        known = np.zeros(n, bool)
+        known[np.flatnonzero(y)[:50]] = True
+        model = pu.fit_shards(samples(spark, x, known), dense, 2, 0.3, shard=512)
+        found.append((auc(model.score(x), y), (model.score(x[~y]) < 0.5).mean()))
+    assert min(f[0] for f in found) > 0.97 and found[1][1] == pytest.approx(found[0][1], abs=0.03)
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.5, 0.85])
+def test_prior_comes_from_positives_and_unlabelled_rows(spark, prior):
+    rng = np.random.default_rng(5)
+    y = rng.random(12_000) < prior
+    x = rng.normal(0, 1, (12_000, 2)) + np.outer(y, [4, 0])
+    known = y & (rng.random(12_000) < 0.3)
+    assert pu.estimate_prior(samples(spark, x, known), dense, 2) == pytest.approx(prior, abs=0.05)
+
+
+def test_prior_without_rows_or_positives(spark):
+    rows = samples(spark, np.zeros((5, 2)), np.zeros(5, bool))
+    assert pu.estimate_prior(rows, dense, 2) == pu.estimate_prior(rows.limit(0), dense, 2) == 0.5
+
+
+def test_classifiers_with_null_ids_and_clashing_names(spark):
+    docs, labels = labelled(spark, 100)
+    odd = docs.unionByName(spark.createDataFrame([(None, "a b", "en", "s", 1.0)], docs.schema)).withColumns({"positive": F.lit("p"), "x": F.lit("x"), "label": F.lit(3), "id": F.lit("i")})
+    more = labels.unionByName(spark.createDataFrame([(None, 1, 1)], labels.schema)).withColumn("positive", F.lit("p"))
+    for module in (quality, toxicity):
+        plain, same = module.learn(docs.unionByName(odd.where("doc_id is null").select(docs.columns)), labels, prior=0.4), module.learn(odd, more, prior=0.4)
+        assert plain.prior == same.prior == 0.4 and same.linear.weights == pytest.approx(plain.linear.weights, abs=1e-6)

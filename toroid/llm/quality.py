@@ -1,7 +1,11 @@
 """Quality classifier by positive-unlabelled learning on surface statistics of whole texts.
 
-Trusted positives are rows labelled 1; every row of the training part, whatever its label, is unlabelled web text. The
-class prior is the share of ones among the labelled training rows. See pu for the risk and the fit.
+Trusted positives are rows labelled 1; every row of the training part, whatever its label, is unlabelled web text. Rows
+labelled 0 are never looked at as such. See pu for the risk, the class prior and the fit.
+
+A text is described by statistics of its words and lines, the shares of kinds of bytes (each ASCII mark is a kind, and so
+are small and capital letters, digits, spaces, line feeds, other control characters and parts of wide characters), and
+the shares of pairs of kinds that stand side by side, hashed into PAIRS buckets.
 """
 
 from __future__ import annotations
@@ -16,91 +20,128 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toroid.llm.common import materialise
-from toroid.llm.pu import Linear, class_prior, fit_shards
+from toroid.llm.pu import Linear, estimate_prior, fit_shards
 
 THRESHOLD = 0.3
-#: Rows of a shard, and weight of the squared weights in the fit.
-SHARD, DECAY = 16_384, 3e-4
-_LOWER, _UPPER, _DIGIT = bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789"
-_SPACE, _PLAIN, _OPEN = b" \t\n\r\x0b\x0c", b".,;:'\"-?", b"|{}<>[]\\/_=+~^`@"
-_ODD = b"!#$%&*"
-NAMES = (
-    "words", "chars", "lower", "upper", "digits", "spaces", "plain_marks", "odd_marks", "brackets", "wide", "lines", "word_length", "distinct_words", "distinct_bytes", "top_word",
-    "repeated_lines", "long_words", "marks_per_word", "stops_per_word", "capital_words", "short_words", "empty",
-)
-WIDTH = 2 * len(NAMES)
-
-
-def surface(text: bytes | None) -> list[float]:
+#: Rows of a shard, weight of the squared weights in the fit, and its steps.
+SHARD, DECAY, STEPS = 16_384, 3e-4, 250
+NAMES = ("words", "bytes", "lines", "word_length", "distinct_words", "top_word", "repeated_lines", "long_words", "short_words", "capital_words", "empty")
+PAIRS = 128
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each byte value."""
+    kind = np.zeros(256, np.int64)  # control characters
+    kind[[32, 10]] = 1, 2
+    kind[range(48, 58)], kind[range(65, 91)], kind[range(97, 123)] = 3, 4, 5
+    kind[range(128, 192)], kind[range(192, 256)] = 6, 7
+    marks = [c for c in range(33, 127) if not chr(c).isalnum()]
+    kind[marks] = 8 + np.arange(len(marks))
+    return kind
+
+
+_KIND = _kinds()
+KINDS = int(_KIND.max()) + 1
+_BUCKET = (np.arange(KINDS * KINDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIRS.bit_length() + 1)).astype(np.int64)
+#: Numbers that describe a text, and features made of them (squares of the statistics are added).
+RAW = len(NAMES) + KINDS + PAIRS
+WIDTH = RAW + len(NAMES)
+
+
+def statistics(data: bytes) -> list[float]:
     """Statistics of a UTF-8 text, in the order of NAMES: shares and logarithms, all 0 but `empty` where it has no word."""
-    data = text or b""
     words = data.split()
     if not words:
         return [0.0] * (len(NAMES) - 1) + [1.0]
-    size, n = len(data), len(words)
-
-    def share(some: bytes) -> float:
-        return (size - len(data.translate(None, some))) / size
-
+    n = len(words)
     sizes = np.fromiter(map(len, words), np.int64, n)
     counts: dict[bytes, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
     lines = data.split(b"\n")
-    odd, plain = share(_ODD), share(_PLAIN)
-    capital = sum(1 for w in counts if w[:1].isupper()) / len(counts)
     return [
-        np.log1p(n), np.log1p(size), share(_LOWER), share(_UPPER), share(_DIGIT), share(_SPACE), plain, odd, share(_OPEN), sum(map(data.count, (b"\xc3", b"\xe2"))) / size, np.log1p(len(lines)),
-        float(sizes.mean()), len(counts) / n, len(set(data)) / 256, max(counts.values()) / n, 1 - len(set(lines)) / len(lines), float((sizes > 12).mean()), (odd + plain) * size / n,
-        (data.count(b". ") + data.count(b".\n")) / n, capital, float((sizes <= 3).mean()), 0.0,
+        np.log1p(n), np.log1p(len(data)), np.log1p(len(lines)), float(sizes.mean()), len(counts) / n, max(counts.values()) / n, 1 - len(set(lines)) / len(lines),
+        float((sizes > 12).mean()), float((sizes <= 3).mean()), sum(1 for w in counts if w[:1].isupper()) / len(counts), 0.0,
     ]
 
 
+def describe(text: bytes | None) -> bytes:
+    """What is stored of a text: its statistics (4 bytes each), and square roots of the shares of kinds and pairs (1 byte each)."""
+    data = text or b""
+    kind = _KIND[np.frombuffer(data, np.uint8)]
+    shares = np.zeros(KINDS + PAIRS)
+    if len(kind):
+        shares[:KINDS] = np.bincount(kind, minlength=KINDS) / len(kind)
+        shares[KINDS:] = np.bincount(_BUCKET[kind[:-1] * KINDS + kind[1:]], minlength=PAIRS) / len(kind)
+    return np.array(statistics(data), np.float32).tobytes() + np.round(np.sqrt(shares) * 255).astype(np.uint8).tobytes()
+
+
+def numbers(described: list[bytes]) -> np.ndarray:
+    """Descriptions as a matrix of RAW columns."""
+    whole = np.frombuffer(b"".join(described), np.uint8).reshape(len(described), -1)
+    head = 4 * len(NAMES)
+    return np.hstack([np.ascontiguousarray(whole[:, :head]).view(np.float32).astype(np.float64), whole[:, head:] / 255.0])
+
+
 @dataclass(frozen=True)
 class Quality:
-    """Standardised statistics and their squares, and a linear score of them."""
+    """Standardised numbers, the squares of the statistics, and a linear score of them."""
 
     mean: np.ndarray
     scale: np.ndarray
     linear: Linear
+    prior: float = 0.5
 
-    def expand(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.hstack([z, z * z / 6])
+    def features(self, described: list[bytes]) -> np.ndarray:
+        z = np.clip((numbers(described) - self.mean) / self.scale, -6, 6)
+        return np.hstack([z, z[:, : len(NAMES)] ** 2 / 6])
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
-        return self.linear.score(self.expand(np.array([surface(t) for t in texts]).reshape(-1, len(NAMES))))
+        return self.linear.score(self.features([describe(t) for t in texts])) if texts else np.empty(0)
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [describe(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "x"])
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of rows, and sum and sum of squares of each column, of a partition."""
+    n, total, squares = 0, np.zeros(RAW), np.zeros(RAW)
     for batch in batches:
-        found = [surface(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32()))], ["id", "raw"])
+        if batch.num_rows:
+            x = numbers(batch.column(0).to_pylist())
+            n, total, squares = n + len(x), total + x.sum(0), squares + (x * x).sum(0)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(RAW, dtype=np.int32)), pa.array(np.full(RAW, n, np.int64)), pa.array(total), pa.array(squares)], ["at", "n", "s", "q"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Quality:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", prior: float | None = None) -> Quality:
     """A classifier from docs (all taken as unlabelled) and labels, of which only the ones are used as examples.
 
-    The caller keeps held-out rows out of both tables. Labels that repeat for an id count as their maximum; null labels
-    and labels without a document are ignored. Without any labels the score is one half for every text.
+    The caller keeps held-out rows out of both tables. Labels that repeat for an id count as their maximum; null labels,
+    labels without a document, and null ids (which match none) are ignored. prior is the share of good texts where it
+    is known; else it is estimated. Without any labels the score is one half for every text. Other columns, whatever
+    their names, are not read.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(_statistics, f"id {id_type}, raw array<float>")
-    rows = materialise(rows.join(known, "id", "left").select("id", "raw", (F.coalesce("label", F.lit(0)) == 1).alias("positive")))
-    prior = class_prior(known, "label")
-    sums = rows.select(F.posexplode("raw").alias("at", "v")).groupBy("at").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("scale")).collect()
-    mean, scale = np.zeros(len(NAMES)), np.ones(len(NAMES))
+    good = labels.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).where("label = 1").select("id", F.lit(True).alias("positive"))
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(_describe, f"id {id_type}, x binary")
+    rows = materialise(rows.join(good, "id", "left").select("id", "x", F.coalesce("positive", F.lit(False)).alias("positive")))
+    sums = rows.select("x").mapInArrow(_sums, "at int, n bigint, s double, q double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
+    mean, scale = np.zeros(RAW), np.ones(RAW)
     for r in sums:
-        mean[r["at"]], scale[r["at"]] = r["mean"], max(r["scale"], 1e-6)
+        if r["n"]:
+            mean[r["at"]] = r["s"] / r["n"]
+            scale[r["at"]] = max(np.sqrt(max(0.0, r["q"] / r["n"] - mean[r["at"]] ** 2)), 1e-3)
     shape = Quality(mean, scale, Linear(np.zeros(WIDTH), 0.0))
 
-    @F.pandas_udf("array<float>")
-    def expand(raw: pd.Series) -> pd.Series:
-        return pd.Series(list(shape.expand(np.stack(raw.to_numpy())).astype(np.float32))) if len(raw) else pd.Series([], dtype=object)
+    def features(x: pd.Series) -> np.ndarray:
+        return shape.features(x.tolist()) if len(x) else np.empty((0, WIDTH))
 
-    linear = fit_shards(rows.select("id", "positive", expand("raw").alias("x")), WIDTH, prior, shard=SHARD, decay=DECAY)
-    return Quality(mean, scale, linear)
+    options = {"shard": SHARD, "decay": DECAY, "steps": STEPS}
+    prior = estimate_prior(rows, features, WIDTH, **options) if prior is None else prior
+    return Quality(mean, scale, fit_shards(rows, features, WIDTH, prior, **options), prior)
 
 
 def quality_score(model: Quality, text: Column) -> Column:
