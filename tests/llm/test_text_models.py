@@ -8,10 +8,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from toroid.llm import pu, quality, toxicity
+from toroid.llm import pu, quality, token_counts, toxicity
 from toroid.llm.chat import digests, escape, format_chats, parse_turns, unescape
 from toroid.llm.language import PENALTY, LanguageModel, identify, learn
-from toroid.llm.token_counts import _default_path, count_tokens, counter, fits, longest_prefix
+from toroid.llm.token_counts import PrefixCounter, _default_path, count_tokens, counter, fits, longest_prefix
 from toroid.llm.url_filter import Rule, host_and_path, judge, lexical, matching_rule
 
 PARTS = ["a", "B", "'", "re", "ll", " ", "  ", "\n", "\t", "1", "²", "½", "é", "ß", "…", "“", "漢", "!", "-", "_", "<|", "<|endoftext|>", "|>", "\x1c", "\u2003", "\xa0", "ª", "٣", "👍", "'s", "don't"]
@@ -27,10 +27,42 @@ def test_every_prefix_is_counted_as_the_library_does(text):
         return len(own.tokenizer.encode(t, add_special_tokens=False).ids)
 
     assert (counts[-1] if counts else 0) == library(text)
+    assert own.every_prefix(text) == [library(text[:n]) for n in range(len(text) + 1)]
     for n in range(len(text) + 2):
         assert own.at(text, ends, counts, n) == library(text[:n])
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aeinorst thgé漢=/+0-"), max_size=40))
+def test_cuts_call_no_encoder(text):
+    own = counter(_default_path())
+    (ends, counts), = own.count([text])
+    wanted = [len(own.tokenizer.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
+    held, own.tokenizer = own.tokenizer, None if text.isascii() else own.tokenizer
+    try:
+        assert [own.at(text, ends, counts, n) for n in range(len(text) + 1)] == wanted
+    finally:
+        own.tokenizer = held
+
+
+def test_long_pieces_and_small_memory(monkeypatch):
+    own = PrefixCounter(_default_path())
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (300, 5000, 40, 41, 42)] + ["=" * 3000, " " * 3000 + "x"]
+    wanted = [len(own.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 400)
+    assert [c[-1] for t in texts for _, c in own.count([t])] == wanted
+    assert own.held <= 400 and max(map(len, own.known)) <= token_counts.LONG
+    assert own.merges.prefixes(texts[1].encode())[-1] == wanted[1] and own.merges.prefixes(texts[5].encode())[-1] == wanted[5]
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="splitting pattern"):
+        PrefixCounter(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_token_tables(spark):
     texts = [None, "", "Hello world, it's 2 PM.", "x " * 60000, "<|endoftext|>", "日本語 text"]
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
@@ -43,7 +75,7 @@ def test_token_tables(spark):
     assert longest_prefix(got[2].piece_ends, got[2].prefix_tokens, 3) == len("Hello world,")
     f = {r.doc_id: r for r in fits(count_tokens(df), 3).collect()}
     assert (f[2].kept_chars, f[2].kept_tokens, f[2].fits) == (12, 3, False) and f[0].fits and f[0].kept_chars == 0
-    assert count_tokens(df.limit(0)).collect() == []
+    assert count_tokens(df.limit(0)).collect() == [] and count_tokens(df.unionByName(df)).count() == 2 * len(texts)
     assert count_tokens(df, keep_prefixes=False).columns == ["doc_id", "n_bytes", "n_tokens"]
 
 
