@@ -1,11 +1,13 @@
+import itertools
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from toroid.llm.components import components
-from toroid.llm.decontaminate import SHORT_MASKS, best_overlap, find_overlaps, token_hashes
+from toroid.llm.decontaminate import MASKS, MIDDLE_MASKS, SHORT_MASKS, best_overlap, find_overlaps, token_hashes
 from toroid.llm.simhash import _chain, fingerprint, links, near_duplicates
 
 
@@ -212,3 +214,47 @@ def test_short_items_and_scripts_without_spaces(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = find_overlaps(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("masks, n, changed", [(MASKS, 16, 4), (MASKS, 15, 3), (MASKS, 14, 2), (MASKS, 20, 5), *((MIDDLE_MASKS, n, int(n / 4)) for n in range(10, 16))])
+def test_masks_reach_nine_tenths_of_what_the_rule_admits(masks, n, changed):
+    windows = [sum(1 << a + i for i, c in enumerate(k) if c == "1") for k in masks for a in range(n - len(k) + 1)]
+    places = [sum(1 << i for i in c) for c in itertools.combinations(range(n), changed)]
+    assert sum(any(not w & p for w in windows) for p in places) >= 0.95 * len(places)
+
+
+def overlaps_by_trying_all(doc, item):
+    """Whether any stretch on any diagonal keeps the documented rule."""
+    needed = len(item) if len(item) < 5 else min(12, 0.75 * len(item))
+    for diagonal in range(-len(item) + 1, len(doc)):
+        lo, hi = max(0, diagonal), min(len(doc), diagonal + len(item))
+        same = np.cumsum([0, *(doc[i] == item[i - diagonal] for i in range(lo, hi))])
+        for i in range(len(same) - 1):
+            m = same[i + 1 :] - same[i]
+            if ((m >= needed) & (m >= 0.75 * np.arange(1, len(m) + 1))).any():
+                return True
+    return False
+
+
+def test_overlaps_against_brute_force(spark):
+    rng = random.Random(12)
+    items = {i: words(rng, rng.choice([4, 7, 10, 12, 13, 15, 16, 18, 24, 40])) for i in range(25)}
+    common, docs = words(rng, 200), {}
+    for d in range(260):
+        body, part = [rng.choice(common) for _ in range(rng.randint(5, 30))], list(items[d % 25])
+        for k in rng.sample(range(len(part)), int(rng.choice([0, 0.1, 0.2, 0.25, 0.35, 0.5]) * len(part))):
+            part[k] = "other"
+        body[rng.randrange(len(body) + 1) :] += part[: rng.choice([len(part), len(part), 13])]
+        docs[d] = body
+    want = {(d, i) for d, body in docs.items() for i, item in items.items() if overlaps_by_trying_all(body, item)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_overlaps(spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string"), bench).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 130
+
+
+def test_equal_overlaps_null_ids_and_clashing_names(spark):
+    item = [f"word{i}" for i in range(20)]
+    text = " ".join([*item, *["between"] * 200, *item])
+    docs = spark.createDataFrame([(1, text, "x"), (None, text, "y"), (None, text, "y")], "doc_id long, text string, item_id string").withColumn("seed", F.lit(0))
+    got = find_overlaps(docs, spark.createDataFrame([(7, " ".join(item), 1)], "item_id int, text string, start int")).collect()
+    assert sorted(((r.doc_id, r.matched, r.compared, r.start) for r in got), key=str) == [(1, 20, 20, 0), (None, 20, 20, 0)]

@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 
 from toroid.llm.common import materialise
 
-#: Positions of a window that a mask selects (1) or ignores (0).
-MASKS = ("11011011", "1110010111", "1010110101")
+#: Positions of a window that a mask selects (1) or ignores (0). Over all places of the changes, one of them lies on matches
+#: in 95.7 % of stretches with 12 of 16 tokens matching, and more often in those with a larger share.
+MASKS = ("11101011", "11001000111", "11010010011")
+#: Masks of items of SPACED to LONG - 1 tokens: 96.8 % of stretches where 9 of 12 match, 98.6 % or more at other lengths.
+MIDDLE_MASKS = ("111011", "11001011", "10100111")
 #: Masks of items under SPACED tokens: one of them lies on matches wherever three quarters of LEAST_SPACED to SPACED - 1
 #: tokens match. Items under LEAST_SPACED tokens are looked for as they are.
 SHORT_MASKS = ("1111", "10111", "11011", "11101", "110011")
-LEAST_SPACED, SPACED = 5, 10
+LEAST_SPACED, SPACED, LONG = 5, 10, 16
 #: Matching tokens and share of matches that an overlap needs; an item under LEAST_MATCH / SHARE tokens needs the share alone.
 LEAST_MATCH = 12
 SHARE = 0.75
@@ -104,7 +107,7 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 
 def _masks(n: int) -> tuple[str, ...]:
     """The masks of an item of n tokens."""
-    return MASKS if n >= SPACED else SHORT_MASKS if n >= LEAST_SPACED else ("1" * n,) if n else ()
+    return MASKS if n >= LONG else MIDDLE_MASKS if n >= SPACED else SHORT_MASKS if n >= LEAST_SPACED else ("1" * n,) if n else ()
 
 
 def _needed(n: int, least: int, share: float) -> float:
@@ -122,7 +125,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for mask in _masks(len(h)):
                 s, at = seeds(h, owner, mask)
                 for seed, where in zip(s.view(np.int64).tolist(), at.tolist()):
-                    own.setdefault((seed, where if len(h) < SPACED else 0), where)
+                    own.setdefault((seed, where if len(h) < LONG else 0), where)
             tokens.append(h.view(np.int64).tolist())
             found.append([{"seed": k, "at": v} for (k, _), v in own.items()])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())])))], ["item_id", "tokens", "seeds"])
@@ -217,7 +220,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     An overlap is a stretch of at least `least` matching tokens (or `share` of an item too short for that) in which
     `share` of the tokens match. Items of under LEAST_SPACED tokens overlap where all their tokens stand in a row. Null and empty texts overlap
-    nothing; an empty table on either side gives an empty result; rows that repeat an id count as one document.
+    nothing; an empty table on either side gives an empty result; rows that repeat an id count as one document, null ids
+    too. Of several overlaps of a pair the one with most matches is given, of those the shortest, of those the first.
     Columns other than those named are not read.
     """
     spark = docs.sparkSession
@@ -230,7 +234,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     screen = np.zeros(1 << bits - 15, "V4096")
     for row in places.groupBy(F.shiftright("at", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("b")).collect():
         screen[row.k] = bytes(row.b)
-    lengths = [r.n for r in items.select(F.least(F.size("tokens"), F.lit(SPACED)).alias("n")).distinct().collect()]
+    lengths = [r.n for r in items.select(F.least(F.size("tokens"), F.lit(LONG)).alias("n")).distinct().collect()]
     masks = sorted({mask for n in lengths for mask in _masks(n)})
     held = spark.sparkContext.broadcast(screen.tobytes())
     regions = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(_regions(held, bits, masks), f"id {id_type}, start int, tokens array<bigint>, hits {pair}")
