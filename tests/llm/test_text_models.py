@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from toroid.llm import pu, quality, token_counts, toxicity
+from toroid.llm import pu, quality, token_counts, toxicity, url_filter
 from toroid.llm.chat import digests, escape, format_chats, parse_turns, unescape
 from toroid.llm.language import PENALTY, LanguageModel, identify, learn
 from toroid.llm.token_counts import PrefixCounter, _default_path, count_tokens, counter, fits, longest_prefix
@@ -249,6 +249,36 @@ def test_judge(spark):
     assert {r.verdict for r in judge(df, rules=()).collect()} == {"allow"}
 
 
+def test_rule_ties(spark):
+    rules = (Rule("b.c", "/x", "allow"), Rule("c", "/x/y", "block"))  # the texts are "b.c/x" and "c/x/y", of one length
+    df = spark.createDataFrame([("b.c", "/x/yz"), ("c", "/x/y"), ("b.c", "/x")], "host string, path string")
+    for order in (rules, rules[::-1]):
+        got = [r[0] for r in df.select(matching_rule(F.col("host"), F.col("path"), order)).collect()]
+        assert got == [order[0].text, "c/x/y", "b.c/x"]
+
+
+def test_unseen_urls_are_judged_by_what_they_look_like(spark):
+    """Held-out accuracy: a fifth of the urls that rules decide is judged without them."""
+    rng = random.Random(11)
+    spam = [f"http://{rng.choice('abcdefgh')}{i}.shop{rng.randrange(30)}.test/{'-'.join(str(rng.randrange(10**6)) for _ in range(3))}?ref={i}&x=1" for i in range(500)]
+    good = [f"https://www.site{rng.randrange(30)}.test/{rng.choice(['news', 'sport', 'about'])}/{rng.choice('abcdefgh')}{i}" for i in range(60)]
+    hidden = {u for i, u in enumerate(spam + good) if i % 5 == 0}
+    def shown(u):
+        return u.replace(".test/", ".spam/" if u in spam else ".fine/") if u not in hidden else u
+    rows = [(i, shown(u)) for i, u in enumerate(spam + good)] + [(10**6, shown(spam[1]))] * 300
+    got = judge(spark.createDataFrame(rows, "page_id long, url string"), rules=(Rule("spam", "/", "block"), Rule("fine", "/", "allow"))).where("rule is null").collect()
+    right = [(r.verdict == "block") == (spam[0][:5] == "http:" and r.page_id < 500) for r in got]
+    assert len(got) == len(hidden) and sum(right) >= 0.95 * len(right)
+
+
+def test_own_label_is_not_among_the_features(spark):
+    df = spark.createDataFrame([(f"u{i}", "s", "d", float(i % 2), 0) for i in range(40)] + [("lone", "t", "t", 1.0, 0)], "url string, suffix string, domain string, label double, other int")
+    got = url_filter.training_urls(df, {k: url_filter._counts(df, k) for k in ("suffix", "domain")}, 30).collect()
+    lone = next(r for r in got if r.url == "lone")
+    assert (lone.suffix_rate, lone.suffix_urls) == (0.5, 0.0)
+    assert {k: sum(r.weight for r in got if r.label == k) for k in (0.0, 1.0)} == pytest.approx({0.0: len(got) / 2, 1.0: len(got) / 2})
+
+
 def test_trees_learn_what_urls_look_like(spark):
     rules = (Rule("bad.example", "/", "block"), Rule("good.example", "/", "allow"))
     rows = [(i, f"http://w{i}.bad.example/{'9' * 30}?a=1&b=2&c={i}") for i in range(200)] + [(1000 + i, f"http://w{i}.good.example/news") for i in range(200)]

@@ -1,8 +1,9 @@
 """URL filter: block and allow rules, and gradient-boosted trees on lexical features for the urls without a rule.
 
 Urls that a rule decides are the labelled urls; the trees learn from them what blocked urls look like (lengths, depth,
-shares of digits, entropy, parameters, and how often urls of the same host suffix are blocked) and decide the others.
-All of it is DataFrame operations and spark.ml; nothing but features of the url itself is used.
+shares of digits, entropy, parameters, and how often urls of the same host suffix are blocked) and decide the others. For
+an url that trains, suffix statistics leave out the fold of urls it is in, so its own label is not in its features. Both
+labels weigh the same. All of it is DataFrame operations and spark.ml; nothing but features of the url itself is used.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toroid.llm.common import LOWER, UPPER, materialise
+from toroid.llm.common import LOWER, UPPER, join_on_hot_key, materialise
 
 
 @dataclass(frozen=True)
@@ -31,8 +32,9 @@ class Rule:
 RULES = (
     Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "block"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block"),
 )
-#: Labelled urls that the trees are fitted to, at most (the first ones by hash).
+#: Different labelled urls that the trees are fitted to, at most (half of each label; the first ones by hash), and folds of urls.
 TRAIN_ROWS = 50_000
+FOLDS = 5
 TREES, DEPTH = 20, 4
 #: Host suffixes up to this number are broadcast (about 60 bytes each).
 BROADCAST_SUFFIXES = 100_000
@@ -55,7 +57,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """The longest rule that fits, as its text (`host` + `path`); null where none does. Ties go to the first."""
     found = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: len(r.text)):
+    for rule in sorted(reversed(rules), key=lambda r: len(r.text)):
         fits = ((host == rule.host) | F.endswith(host, F.lit("." + rule.host))) & F.startswith(path, F.lit(rule.path))
         found = F.when(fits, F.lit(rule.text)).otherwise(found)
     return found
@@ -77,15 +79,39 @@ def lexical(pages: DataFrame, url: str = "url") -> DataFrame:
     return out.drop("_u")
 
 
-def _rates(labelled: DataFrame, key: str) -> DataFrame:
-    """For each value of key: smoothed share of blocked urls and logarithm of their number."""
-    return labelled.groupBy(F.col(key).alias("_key")).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias(f"{key}_rate"), F.log1p(F.count("*").cast("double")).alias(f"{key}_urls"))
+def _fold(url: str = "url") -> Column:
+    return F.pmod(F.xxhash64(F.col(url), F.lit(1)), F.lit(FOLDS)).cast("int")
 
 
-def _with_rates(rows: DataFrame, rates: DataFrame, key: str) -> DataFrame:
-    small = rates.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES
-    joined = rows.join(F.broadcast(rates) if small else rates, F.col(key) == F.col("_key"), "left").drop("_key")
-    return joined.fillna({f"{key}_rate": 0.5, f"{key}_urls": 0.0})
+def _rates(key: str, blocked: Column, labelled: Column) -> dict[str, Column]:
+    """Smoothed share of blocked urls of a suffix, and logarithm of the number of labelled ones."""
+    return {f"{key}_rate": (blocked + 1) / (labelled + 2), f"{key}_urls": F.log1p(labelled.cast("double"))}
+
+
+def _counts(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.coalesce(F.sum("label"), F.lit(0.0)).alias("_blocked"), F.count("label").alias("_labelled"), F.count("*").alias("_rows"))
+
+
+def _with_rates(rows: DataFrame, counts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the statistics of their suffix over all labelled urls. Few suffixes are broadcast, hot ones always."""
+    small = counts.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES
+    joined = rows.join(F.broadcast(counts), key) if small else join_on_hot_key(rows, counts, [key], "_rows", total)
+    return joined.withColumns(_rates(key, F.col("_blocked"), F.col("_labelled"))).drop("_blocked", "_labelled", "_rows")
+
+
+def training_urls(marked: DataFrame, counts: dict[str, DataFrame], train_rows: int) -> DataFrame:
+    """A bounded sample of different labelled urls, as many of each label where there are, with features and weight."""
+    urls = marked.where("label is not null").dropDuplicates(["url"])
+    halves = [urls.where(F.col("label") == k).orderBy(F.xxhash64("url"), "url").limit(train_rows // 2) for k in (0.0, 1.0)]
+    rows = materialise(halves[0].unionByName(halves[1]).withColumn("_fold", _fold()))
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    for key, all_ in counts.items():
+        # the sample is bounded, so it is the side that is broadcast
+        own = _counts(marked.where("label is not null").withColumn("_fold", _fold()), key, "_fold").select(key, "_fold", F.col("_blocked").alias("_b"), F.col("_labelled").alias("_l"))
+        rows = own.join(F.broadcast(rows), [key, "_fold"])
+        rows = materialise(all_.join(F.broadcast(rows), key).withColumns(_rates(key, F.col("_blocked") - F.col("_b"), F.col("_labelled") - F.col("_l"))).drop("_b", "_l", "_blocked", "_labelled", "_rows"))
+    weight = F.when(F.col("label") == 1, F.lit(1 / max(1, sizes.get(1.0, 0)))).otherwise(F.lit(1 / max(1, sizes.get(0.0, 0))))
+    return rows.withColumn("weight", weight * sum(sizes.values()) / 2)
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -93,7 +119,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     verdict is the rule's, else `block` where the trees give blocking the larger chance. If the labelled urls are all of one
     kind, that kind is the verdict of the others; with none, they are allowed. Rows that repeat are judged each; a null
-    url has empty host and path; an empty table gives an empty result; no other column is read.
+    url has empty host and path; urls of any length are read whole; of rules of one length that fit, the first decides;
+    an empty table gives an empty result; no other column is read.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"))
@@ -106,11 +133,15 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     if len(kinds) < 2:
         other = F.lit("block" if kinds == [1.0] else "allow")
         return marked.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", other).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
-    for key in ("suffix", "domain"):
-        marked = _with_rates(marked, materialise(_rates(labelled, key)), key)
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(marked)
-    train = materialise(ready.where("label is not null").orderBy(F.xxhash64("url"), "url").limit(train_rows).select("label", "features"))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=42, featuresCol="features", labelCol="label").fit(train)
+    total = marked.count()
+    counts = {key: materialise(_counts(marked, key)) for key in ("suffix", "domain")}
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    train = materialise(assembler.transform(training_urls(marked, counts, train_rows)).select("label", "features", "weight"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=42, featuresCol="features", labelCol="label", weightCol="weight").fit(train)
+    ready = marked
+    for key, all_ in counts.items():
+        ready = _with_rates(ready, all_, key, total)
+    ready = assembler.transform(ready)
     found = model.transform(ready)
     learned = F.when(F.col("prediction") == 1, "block").otherwise("allow")
     chance = F.try_element_at(_as_array("probability"), F.lit(2))
