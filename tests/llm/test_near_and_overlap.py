@@ -258,3 +258,11 @@ def test_equal_overlaps_null_ids_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, text, "x"), (None, text, "y"), (None, text, "y")], "doc_id long, text string, item_id string").withColumn("seed", F.lit(0))
     got = find_overlaps(docs, spark.createDataFrame([(7, " ".join(item), 1)], "item_id int, text string, start int")).collect()
     assert sorted(((r.doc_id, r.matched, r.compared, r.start) for r in got), key=str) == [(1, 20, 20, 0), (None, 20, 20, 0)]
+
+
+def test_near_duplicates_with_null_ids_and_other_distances(spark):
+    rows = [(None, "a b c d"), (None, "A b c d"), (4, "a b c d"), (None, "x y z w v")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"root": F.lit(1), "n": F.lit("n"), "key": F.lit(2)})).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == [(4, 4), (None, 4), (None, 4), (None, None)]
+    with pytest.raises(ValueError, match="distance"):
+        links(spark.createDataFrame([], "fp long"), distance=7)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from toroid.sources.shared import materialise, table
 
-__all__ = ["BROADCAST_IDS", "HOT_LEAST", "HOT_SHARE", "LOWER", "UPPER", "WORD", "ascii_lower", "join_on_hot_key", "materialise", "rows_without", "table"]
+__all__ = ["BROADCAST_IDS", "HOT_LEAST", "HOT_SHARE", "LOWER", "UPPER", "WORD", "ascii_lower", "broadcast_few", "join_on_hot_key", "materialise", "rows_without", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -41,6 +41,11 @@ def join_on_hot_key(rows: DataFrame, groups: DataFrame, key: list[str], size: st
 BROADCAST_IDS = 200_000
 
 
+def broadcast_few(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """df, to be broadcast if a count shows it to have few rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def rows_without(rows: DataFrame, gone: DataFrame, id_col: str, digest: Column) -> DataFrame:
     """rows but those whose (id, digest) is in gone (two columns, in that order); null ids are compared like others.
 
@@ -48,5 +53,4 @@ def rows_without(rows: DataFrame, gone: DataFrame, id_col: str, digest: Column)
     sides of that join can spill).
     """
     gone = gone.toDF("_gone_id", "_gone_digest")
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (digest == F.col("_gone_digest")), "left_anti")
+    return rows.join(broadcast_few(gone), F.col(id_col).eqNullSafe(F.col("_gone_id")) & (digest == F.col("_gone_digest")), "left_anti")

@@ -19,7 +19,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Large star hangs the larger neighbours of each node on its smallest neighbour, small star the smaller ones, until
     every node hangs on its root; chains of n nodes take O(log n) rounds. Minima are pre-aggregated, and each round
-    is written to the shared folder, so lineage stays short and a lost executor costs one round at most. Self-links
+    is written to the shared folder, so lineage stays short and a lost executor costs one round at most. A hub's links
+    are one join key with one row on the other side, which adaptive execution splits over tasks (skew join). Self-links
     and repeated links are allowed; no links give an empty table.
     """
     links = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

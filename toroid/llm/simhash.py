@@ -7,8 +7,8 @@ key (equal segment, next segment as it is or with one bit set), the later ones a
 the full Hamming distance.
 
 Distinct fingerprints are linked, so exact copies cost nothing, and of the links inside one key only a spanning forest
-is kept: components stay the same and the number of rows linear. Keys with over BLOCK fingerprints are cut into blocks,
-and each pair of blocks is compared in a task of its own.
+is kept: components stay the same and the number of rows linear. Keys with over BLOCK fingerprints are dealt into blocks
+before they are sent anywhere, and each pair of blocks is a cell of its own, so no task gets a whole hot key.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toroid.llm.common import join_on_hot_key, materialise
+from toroid.llm.common import broadcast_few, join_on_hot_key, materialise
 from toroid.llm.components import components
 
 SEED = 42
-#: Most fingerprints of a key that are compared in memory at once (BLOCK**2 pairs of 8 bytes).
+#: Fingerprints of a block, on average; a cell has two blocks at most, and (2 * BLOCK)**2 pairs of 8 bytes are compared at once.
 BLOCK = 1024
 #: Shingles hashed at once for a text.
 CHUNK = 1 << 16
@@ -98,74 +98,41 @@ def _chain(x: np.ndarray, turn: int, distance: int) -> np.ndarray:
     return good
 
 
-def _compare(key: int, a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Star edges among the fingerprints a and b (sorted, unique) that share a key."""
-    all_ = np.union1d(a, b)
-    linked = _chain(all_[:, None] ^ all_[None, :], key >> 58, distance)
-    linked |= linked.T
-    return [(int(all_[i]), int(all_[j])) for i, j in _forest(linked)]
+def _compare(key: int, prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Star edges among the fingerprints (any order, repeats allowed) that share a key."""
+    own = np.unique(prints)
+    linked = _chain(own[:, None] ^ own[None, :], key >> 58, distance)
+    return [(int(own[i]), int(own[j])) for i, j in _forest(linked | linked.T)]
 
 
-def _signed(values: list[int]) -> np.ndarray:
-    return np.array(values, np.uint64).view(np.int64)
+def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
 
 
-OUT = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("block", pa.int32()), ("members", pa.list_(pa.int64()))])
-
-
-def _rows(edges: list[tuple[int, int]], blocks: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-    u, v = _signed([e[0] for e in edges]), _signed([e[1] for e in edges])
-    none = [None] * len(edges)
-    return pa.RecordBatch.from_arrays([
-        pa.array([*u.tolist(), *[None] * len(blocks)], pa.int64()), pa.array([*v.tolist(), *[None] * len(blocks)], pa.int64()),
-        pa.array([*none, *(k for k, _, _ in blocks)], pa.int64()), pa.array([*none, *(n for _, n, _ in blocks)], pa.int32()),
-        pa.array([*none, *(m.view(np.int64).tolist() for _, _, m in blocks)], pa.list_(pa.int64())),
-    ], schema=OUT)
-
-
-def _link_sorted(distance: int, block: int):
-    """Links inside keys of batches sorted by key; keys above `block` fingerprints come out as blocks instead."""
+def _link_cells(distance: int):
+    """Links inside cells, which are runs of rows (key, lo, hi, fp) in sorted batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held, sent = None, np.empty(0, np.uint64), 0
-
-        def close() -> tuple[list, list]:
-            if sent:
-                return [], [(held_key, sent, held)] if len(held) else []
-            return (_compare(held_key, held, held, distance) if len(held) > 1 else []), []
-
+        cell, held = None, []
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            prints = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            edges, blocks = [], []
-            cuts = np.flatnonzero(np.diff(keys)) + 1
+            if not batch.num_rows:
+                continue
+            keys, lo, hi, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
             starts, ends = np.r_[0, cuts], np.r_[cuts, len(keys)]
-            # keys with one row inside this batch can link nothing; only the last may go on in the next batch
-            for i in np.flatnonzero((ends - starts > 1) | (np.arange(len(starts)) == len(starts) - 1) | (np.arange(len(starts)) == 0)) if len(keys) else []:
-                key, part = int(keys[starts[i]]), prints[starts[i] : ends[i]]
-                if key != held_key:
-                    if held_key is not None:
-                        e, b = close()
-                        edges, blocks = edges + e, blocks + b
-                    held_key, held, sent = key, np.empty(0, np.uint64), 0
-                held = np.r_[held, part]
-                while len(held) > block:
-                    blocks.append((key, sent, held[:block]))
-                    held, sent = held[block:], sent + 1
-            yield _rows(edges, blocks)
-        if held_key is not None:
-            yield _rows(*close())
-
-    return run
-
-
-def _link_blocks(distance: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            edges = []
-            for key, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                edges += _compare(key, np.array(a, np.int64).view(np.uint64), np.array(b, np.int64).view(np.uint64), distance)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed([e[0] for e in edges])), pa.array(_signed([e[1] for e in edges]))], ["u", "v"])
+            edges, at = [], np.arange(len(starts))
+            # a run of one row inside the batch links nothing; the first may go on from the last batch, the last into the next
+            for i in np.flatnonzero((ends - starts > 1) | (at == 0) | (at == len(at) - 1)):
+                a = starts[i]
+                own = (int(keys[a]), int(lo[a]), int(hi[a]))
+                if own != cell:
+                    edges += _compare(cell[0], np.concatenate(held), distance) if sum(map(len, held)) > 1 else []
+                    cell, held = own, []
+                held.append(prints[a : ends[i]].view(np.uint64))
+            yield _edges(edges)
+        if sum(map(len, held)) > 1:
+            yield _edges(_compare(cell[0], np.concatenate(held), distance))
 
     return run
 
@@ -173,11 +140,11 @@ def _link_blocks(distance: int):
 def links(prints: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) that connect distinct fingerprints (column fp) of `distance` or fewer differing bits.
 
-    Not all such pairs, but a spanning forest of those of each key: what is connected stays connected, and every edge
-    is a chain of true links. distance is 3 or 7 (4 or 8 segments).
+    Not all such pairs, but a spanning forest of those of each cell: what is connected stays connected, and every edge
+    is a chain of true links. distance is 3: at fewer or more segments of 64 bits, keys would be too rare or too common.
     """
-    if distance not in (3, 7):
-        raise ValueError("distance must be 3 or 7")
+    if distance != 3:
+        raise ValueError("distance must be 3")
     width = 64 // (distance + 1)
     probes = f"transform(filter(array({', '.join(f'{1 << b}L' for b in range(width, 2 * width))}), b -> (k & b) = 0), b -> k | b)"
     keys = []
@@ -186,16 +153,15 @@ def links(prints: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame
         chain = f"transform(array({ring} & {(1 << 2 * width) - 1}L), k -> concat(array(k), {probes}))[0]"
         keys.append(F.expr(f"transform({chain}, k -> k | {turn << 58}L)"))
     keyed = prints.select("fp", F.explode(F.concat(*keys)).alias("key"))
-    keyed = keyed.repartition("key").sortWithinPartitions("key").select("key", "fp")
-    found = materialise(keyed.mapInArrow(_link_sorted(distance, block), "u bigint, v bigint, key bigint, block int, members array<bigint>"))
-    edges = found.where("u is not null").select("u", "v")
-    blocks = found.where("members is not null")
-    if blocks.limit(1).count():
-        left = blocks.select("key", F.col("block").alias("_a"), F.col("members").alias("a"))
-        right = blocks.select("key", F.col("block").alias("_b"), F.col("members").alias("b"))
-        pairs = left.join(right, "key").where("_a <= _b").select("key", "a", "b").repartition(F.rand(SEED))
-        edges = edges.unionByName(pairs.mapInArrow(_link_blocks(distance), "u bigint, v bigint"))
-    return edges.distinct()
+    hot = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block))
+    cells = keyed.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "fp")
+    if not hot.isEmpty():
+        hot = broadcast_few(hot)
+        blocks = F.ceil(F.col("n") / block).cast("int")
+        dealt = keyed.join(hot, "key").withColumn("at", F.pmod(F.xxhash64("fp", F.lit(SEED)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        cells = cells.join(hot.select("key"), "key", "left_anti").unionByName(dealt.select("key", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "fp"))
+    cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return cells.mapInArrow(_link_cells(distance), "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, block: int = BLOCK) -> DataFrame:
@@ -203,7 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and blank texts have fingerprint zero and link like any other. Rows that repeat an id or a text are
     all listed. An empty table gives an empty result. Null ids count in a component but never name it, unless all of
-    its ids are null.
+    its ids are null. Texts of any length are read whole. Other columns, whatever their names, are not read.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, shingle))
     distinct = materialise(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("least")))
