@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from toroid.llm.common import ascii_lower, join_on_hot_key, materialise, rows_without
 
 #: Distinct keys of a bucket, and of an owner. It grows with the table where the directory would have over MOST_BUCKETS.
-CAPACITY, MOST_BUCKETS = 16_384, 1 << 16
+CAPACITY, MOST_BUCKETS = 2048, 1 << 16
 #: Hashes of repeated texts up to this number are broadcast to the scan (about 40 bytes each).
 BROADCAST_HASHES = 1_000_000
 
