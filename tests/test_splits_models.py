@@ -149,3 +149,16 @@ def test_scoring_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("scored").where("predicted_neutron_yield > 0 and size(broken) = 0").count() == 40
+
+
+def test_folds_that_cannot_be_trusted_raise(spark):
+    rows = spark.range(40).select(F.col("id").alias("shot_id"), (F.col("id") % 4).cast("int").alias("fold"), F.when(F.col("id") % 4 == 3, 5.0).otherwise(F.col("id") * 1e9).alias(C.TARGET))
+    with pytest.raises(ValueError, match="fold 3.*distinct"):
+        L.cross_validate(rows, [], L.fit_baseline, 4, "baseline")
+
+
+def test_hash_ranges_follow_the_rows(spark):
+    assert S.hash_ranges(10) == 256 and S.hash_ranges(10**10) == 10_000
+    df = spark.range(500).select("id", F.col("id").cast("string").alias("key"))
+    ranks = [{r.id: r.n for r in S.with_rank(df, F.col("key"), "n", ranges=k).collect()} for k in (1, 256, 9973)]
+    assert ranks[0] == ranks[1] == ranks[2] and sorted(ranks[0].values()) == list(range(500))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toroid import config as C
-from toroid.operators.metrics import PREDICTED, fold_summary, regression_metrics
+from toroid.operators.metrics import PREDICTED, fold_summary, sound_metrics
 from toroid.operators.quantiles import quantile, quantiles
 
 Family = Callable[[DataFrame, list[str]], PipelineModel]
@@ -61,7 +61,9 @@ def _fit_trees(df: DataFrame, features: list[str], regressor, exact: bool = True
     rows = log_label(df)
     for stage in before:
         rows = stage.transform(rows)
-    model = regressor.copy({regressor.featuresCol: "_features", regressor.labelCol: "_label", regressor.predictionCol: _LOG}).fit(rows.select("_features", "_label"))
+    rows = rows.select("_features", "_label").persist()  # boosting reads them for every round
+    model = regressor.copy({regressor.featuresCol: "_features", regressor.labelCol: "_label", regressor.predictionCol: _LOG}).fit(rows)
+    rows.unpersist()
     return PipelineModel([*before, model, _back()])
 
 
@@ -86,18 +88,17 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, features: list[str], fit: Family, folds: int, name: str, threads: int = 3) -> DataFrame:
-    """(model, cv_rmse_mean, cv_rmse_std, cv_mae_mean, cv_mae_std); df has fold, and is best stored or cached before."""
-    def one(k: int) -> DataFrame:
+    """(model, cv_rmse_mean, cv_rmse_std, cv_mae_mean, cv_mae_std); df has fold, and is best stored or cached before.
+
+    A fold whose target is constant, or whose predictions or errors are not finite, raises.
+    """
+    def one(k: int) -> tuple:
         model = fit(df.where(F.col("fold") != k), features)
-        own = predict(model, df.where(F.col("fold") == k))
-        return regression_metrics(own, C.TARGET, PREDICTED).withColumns({"fold": F.lit(k), "model": F.lit(name)})
+        found = sound_metrics(predict(model, df.where(F.col("fold") == k)), f"{name}, fold {k}", C.TARGET, PREDICTED)
+        return name, k, found["mae"], found["rmse"], found["r2"]
 
     with ThreadPoolExecutor(threads) as pool:
-        parts = list(pool.map(one, range(folds)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return fold_summary(out)
+        return fold_summary(df.sparkSession.createDataFrame(list(pool.map(one, range(folds))), "model string, fold int, mae double, rmse double, r2 double"))
 
 
 def ranked(metrics: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def train(spark: SparkSession, path: str | None, out_dir: str, *, allow_syntheti
     for name, fit in families.items():
         own = L.cross_validate(fit_rows, features, fit, folds, name).first().asDict()
         fitted[name] = fit(fit_rows, features)
-        holdouts[name] = L.predict(fitted[name], held)
+        holdouts[name] = materialise(L.predict(fitted[name], held))  # scored once for all metrics
         frame = M.prediction_frame(holdouts[name], features)
         rows.append(own | {f"holdout_{k}": v for k, v in M.compute(frame, f"{name} holdout", exact=exact).items()})
     order = ["model", *(k for k in rows[0] if k != "model")]

@@ -30,7 +30,9 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 KEY = ("shot_id", *X.TIES)
 #: Tree sizes in queries; full sizes are the defaults of the families.
-SMALL = {"trees": 8, "tree_depth": 6, "rounds": 8, "boost_depth": 4, "bins": 64}
+SMALL = {"trees": 20, "tree_depth": 8, "rounds": 20, "boost_depth": 5, "bins": 255}
+#: Prepared splits by session and folder, so that model queries do not derive and split the same samples again.
+_SPLITS: dict[tuple[str, str], tuple[DataFrame, list[str]]] = {}
 
 
 def query(sql: str | None = None, plain: bool = False) -> Callable[[Query], Query]:
@@ -365,16 +367,13 @@ def baseline_predict(spark, sf_dir):
 
 
 def _trained_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Engineered samples, stored once: rows to train on, held-out shots, features."""
-    df = engineer(X.samples(spark, sf_dir))
-    split = materialise(S.shot_holdout(df))
-    return split.where("not is_test"), split.where("is_test"), N.feature_columns(df.columns)
-
-
-def _holdout_metrics(model, test: DataFrame, features: list[str], baseline) -> DataFrame:
-    own = M.regression_metrics(L.predict(model, test), C.TARGET, M.PREDICTED)
-    base = M.regression_metrics(L.predict(baseline, test), C.TARGET, M.PREDICTED)
-    return own.select("mae", "rmse", "r2").crossJoin(base.select(F.col("rmse").alias("baseline_rmse"))).withColumn("beats_baseline", F.col("rmse") < F.col("baseline_rmse"))
+    """Engineered samples, stored once a session: rows to train on, held-out shots, features."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _SPLITS:
+        df = engineer(X.samples(spark, sf_dir))
+        _SPLITS[at] = materialise(S.shot_holdout(df)), N.feature_columns(df.columns)
+    split, features = _SPLITS[at]
+    return split.where("not is_test"), split.where("is_test"), features
 
 
 @query()
@@ -439,12 +438,10 @@ def metrics_table(spark, sf_dir):
 def holdout_comparison(spark, sf_dir):
     """Holdout metrics of every family, beside the baseline's."""
     train, test, features = _trained_rows(spark, sf_dir)
-    fitted = {name: fit(train, features) for name, fit in L.registry(**SMALL).items()}
-    out = None
-    for name, model in fitted.items():
-        one = _holdout_metrics(model, test, features, fitted["baseline"]).withColumn("model", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    metrics = {name: M.sound_metrics(L.predict(fit(train, features), test), f"{name} holdout", C.TARGET, M.PREDICTED) for name, fit in L.registry(**SMALL).items()}
+    base = metrics["baseline"]["rmse"]
+    rows = [(name, m["mae"], m["rmse"], m["r2"], base, m["rmse"] < base) for name, m in metrics.items()]
+    return spark.createDataFrame(rows, "model string, mae double, rmse double, r2 double, baseline_rmse double, beats_baseline boolean")
 
 
 def _importance(spark, sf_dir) -> DataFrame:

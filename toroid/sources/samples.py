@@ -39,7 +39,7 @@ def resolve_source(path: str | None, allow_synthetic: bool) -> tuple[str | None,
         return path, "provided_path"
     if allow_synthetic:
         return None, "synthetic_generated"
-    raise ValueError("Training dataset is required. Give dataset_path (--dataset-path), or set allow_synthetic (--allow-synthetic) to train on synthetic demo data explicitly.")
+    raise ValueError("Nothing to train on: name a table (dataset_path, --dataset-path), or ask for made-up samples (allow_synthetic, --allow-synthetic).")
 
 
 def uniform(row: Column, name: str, low: float, high: float, seed: int = C.SEED) -> Column:
@@ -64,7 +64,7 @@ RANGES = {
 def synthetic_shots(spark: SparkSession, n_rows: int, seed: int = C.SEED) -> DataFrame:
     """n_rows samples, six to a shot, made row by row from hashes, so the table is the same however it is partitioned."""
     if n_rows <= 0:
-        raise ValueError("n_rows must be a positive integer.")
+        raise ValueError(f"cannot make {n_rows} rows: n_rows has to be above zero")
     row = F.col("id")
     draw = {name: uniform(row, name, *limits, seed) for name, limits in RANGES.items()}
     df = spark.range(n_rows).withColumns({
