@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -18,6 +18,9 @@ PARTS = ["a", "B", "'", "re", "ll", " ", "  ", "\n", "\t", "1", "²", "½", "é"
 
 
 @settings(max_examples=150, deadline=None)
+@example("\n\na")
+@example("a\n\nb")
+@example("para one.\n\npara two\n\n\n  third don't\t\tlast \n x")
 @given(st.lists(st.sampled_from(PARTS), max_size=12).map("".join))
 def test_every_prefix_is_counted_as_the_library_does(text):
     own = counter(_default_path())
