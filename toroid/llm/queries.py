@@ -15,6 +15,7 @@ from toroid.llm.exact_dedup import find_copies
 from toroid.llm.language import identify, learn
 from toroid.llm.mixing import mix
 from toroid.llm.simhash import near_duplicates
+from toroid.llm.structure import damaged_and_repaired
 from toroid.llm.token_counts import LIMIT, count_tokens
 from toroid.llm.url_filter import judge
 from toroid.llm.whitening import whiten
@@ -82,6 +83,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
