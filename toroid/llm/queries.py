@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from toroid.llm import quality, toxicity
 from toroid.llm.chat import digests, format_chats
+from toroid.llm.chosen_path import similarity_join
 from toroid.llm.common import table
 from toroid.llm.decontaminate import find_overlaps
 from toroid.llm.exact_dedup import find_copies
@@ -83,6 +84,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_minhash_near_dedup": op11_minhash_near_dedup,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
