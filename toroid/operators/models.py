@@ -8,27 +8,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from functools import partial
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toroid import config as C
+from toroid.operators import boosting as B
 from toroid.operators.metrics import PREDICTED, fold_summary, sound_metrics
-from toroid.operators.quantiles import quantile, quantiles
+from toroid.operators.quantiles import fold_quantiles, quantile, quantiles
 
 Family = Callable[[DataFrame, list[str]], PipelineModel]
-_LOG = "_log_prediction"
+_LOG, _LABEL = "_log_prediction", "_label"
+#: Medians of features and of the log-scaled target, by name.
+Medians = dict[str, float | None]
 
 
-def medians(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, float | None]:
+def medians(df: DataFrame, columns: list[str], exact: bool = True) -> Medians:
     """The median of each column, all columns together; None where it is all missing."""
     return quantiles(df, {c: (F.col(c), 0.5) for c in columns}, exact)
 
 
+def fold_medians(df: DataFrame, features: list[str], folds: int, exact: bool = True) -> dict[int, Medians]:
+    """For each fold the medians of features and log-scaled target over the rows of the other folds, all in one set of passes."""
+    return fold_quantiles(log_label(df), {c: (F.col(c), 0.5) for c in [*features, _LABEL]}, "fold", folds, exact)
+
+
 def impute(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
     """df with missing values of the columns replaced; a column whose value is None stays as it is."""
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items() if v is not None})
@@ -44,42 +52,89 @@ def _back(columns: list[str] = ()) -> SQLTransformer:
 
 
 def log_label(df: DataFrame) -> DataFrame:
-    return df.withColumn("_label", F.log1p(F.col(C.TARGET)))
+    return df.withColumn(_LABEL, F.log1p(F.col(C.TARGET)))
 
 
-def fit_baseline(df: DataFrame, features: list[str], exact: bool = True) -> PipelineModel:
+@dataclass(frozen=True)
+class Baseline:
     """Predicts the median of the log-scaled target."""
-    middle = quantile(log_label(df), "_label", 0.5, exact)
-    return PipelineModel([SQLTransformer(statement=f"SELECT *, {middle!r}D AS {_LOG} FROM __THIS__"), _back()])
+
+    exact: bool = True
+
+    def __call__(self, df: DataFrame, features: list[str], values: Medians | None = None) -> PipelineModel:
+        middle = values[_LABEL] if values else quantile(log_label(df), _LABEL, 0.5, self.exact)
+        return PipelineModel([SQLTransformer(statement=f"SELECT *, {middle!r}D AS {_LOG} FROM __THIS__"), _back()])
+
+
+@dataclass(frozen=True)
+class Forest:
+    """A random forest over median-imputed features, all of which are tried at every split."""
+
+    trees: int = 400
+    depth: int = 14
+    bins: int = 255
+    exact: bool = True
+
+    def __call__(self, df: DataFrame, features: list[str], values: Medians | None = None) -> PipelineModel:
+        fills = {c: v for c in features if (v := (values or {}).get(c)) is not None} if values else {c: v for c, v in medians(df, features, self.exact).items() if v is not None}
+        if not fills:
+            raise ValueError("every feature is missing in all rows")
+        before: list[Transformer] = [_imputer(fills), VectorAssembler(inputCols=[f"_f_{c}" for c in fills], outputCol="_features")]
+        rows = log_label(df)
+        for stage in before:
+            rows = stage.transform(rows)
+        forest = RandomForestRegressor(
+            numTrees=self.trees, maxDepth=self.depth, minInstancesPerNode=2, featureSubsetStrategy="all", maxBins=self.bins, maxMemoryInMB=1024, seed=C.SEED,
+            featuresCol="_features", labelCol=_LABEL, predictionCol=_LOG,
+        )
+        rows = rows.select("_features", _LABEL).persist()  # every level of the trees reads them
+        try:
+            return PipelineModel([*before, forest.fit(rows), _back()])
+        finally:
+            rows.unpersist()
 
 
-def _fit_trees(df: DataFrame, features: list[str], regressor, exact: bool = True) -> PipelineModel:
-    values = {c: v for c, v in medians(df, features, exact).items() if v is not None}
-    if not values:
-        raise ValueError("every feature is missing in all rows")
-    before: list[Transformer] = [_imputer(values), VectorAssembler(inputCols=[f"_f_{c}" for c in values], outputCol="_features")]
-    rows = log_label(df)
-    for stage in before:
-        rows = stage.transform(rows)
-    rows = rows.select("_features", "_label").persist()  # boosting reads them for every round
-    model = regressor.copy({regressor.featuresCol: "_features", regressor.labelCol: "_label", regressor.predictionCol: _LOG}).fit(rows)
-    rows.unpersist()
-    return PipelineModel([*before, model, _back()])
+@dataclass(frozen=True)
+class Boosting:
+    """Histogram gradient boosting: trees of at most `leaves` leaves that grow leaf by leaf, early stop on large tables."""
+
+    rounds: int = 350
+    depth: int = 8
+    bins: int = 255
+    leaves: int = B.MOST
+    early_rows: int = B.EARLY_ROWS
+    rate: float = B.RATE
+    exact: bool = True
+
+    def _fitted(self, df: DataFrame, features: list[str], values: dict[int | None, Medians], edges: dict[str, list[float]] | None = None) -> tuple[dict[int | None, PipelineModel], B.Passes]:
+        rows = log_label(df)
+        counts = {r[0]: r[1] for r in rows.groupBy("fold").count().collect()} if "fold" in df.columns else {}
+        total = sum(counts.values()) or rows.count()
+        sizes = {k: total - counts.get(k, 0) if k is not None else total for k in values}
+        models, passes = B.fit_models(rows, features, _LABEL, values, sizes, rounds=self.rounds, depth=self.depth, bins=self.bins, leaves=self.leaves, early_rows=self.early_rows, rate=self.rate, edges=edges, output=_LOG)
+        return {k: PipelineModel([m, _back()]) for k, m in models.items()}, passes
+
+    def __call__(self, df: DataFrame, features: list[str], values: Medians | None = None) -> PipelineModel:
+        return self._fitted(df, features, {None: values or medians(df, features, self.exact)})[0][None]
+
+    def folds(self, df: DataFrame, features: list[str], values: dict[int, Medians]) -> dict[int, PipelineModel]:
+        """A model for each fold, of the rows of the other folds; all grow side by side in shared passes."""
+        return self._fitted(df, features, values)[0]
+
+
+fit_baseline = Baseline()
 
 
 def fit_random_forest(df: DataFrame, features: list[str], trees: int = 400, depth: int = 14, bins: int = 255, exact: bool = True) -> PipelineModel:
-    return _fit_trees(df, features, RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="all", maxBins=bins, maxMemoryInMB=1024, seed=C.SEED), exact)
+    return Forest(trees, depth, bins, exact)(df, features)
 
 
 def fit_boosting(df: DataFrame, features: list[str], rounds: int = 350, depth: int = 8, bins: int = 255, exact: bool = True) -> PipelineModel:
-    return _fit_trees(df, features, GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=0.05, minInstancesPerNode=20, maxBins=bins, maxMemoryInMB=1024, checkpointInterval=10, seed=C.SEED), exact)
+    return Boosting(rounds, depth, bins, exact=exact)(df, features)
 
 
 def registry(trees: int = 400, tree_depth: int = 14, rounds: int = 350, boost_depth: int = 8, bins: int = 255, exact: bool = True) -> dict[str, Family]:
-    return {
-        "baseline": partial(fit_baseline, exact=exact), "random_forest": partial(fit_random_forest, trees=trees, depth=tree_depth, bins=bins, exact=exact),
-        "hist_gradient_boosting": partial(fit_boosting, rounds=rounds, depth=boost_depth, bins=bins, exact=exact),
-    }
+    return {"baseline": Baseline(exact), "random_forest": Forest(trees, tree_depth, bins, exact), "hist_gradient_boosting": Boosting(rounds, boost_depth, bins, exact=exact)}
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -87,13 +142,20 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).select(*df.columns, PREDICTED)
 
 
-def cross_validate(df: DataFrame, features: list[str], fit: Family, folds: int, name: str, threads: int = 3) -> DataFrame:
+def cross_validate(df: DataFrame, features: list[str], fit: Family, folds: int, name: str, threads: int = 3, values: dict[int, Medians] | None = None) -> DataFrame:
     """(model, cv_rmse_mean, cv_rmse_std, cv_mae_mean, cv_mae_std); df has fold, and is best stored or cached before.
 
-    A fold whose target is constant, or whose predictions or errors are not finite, raises.
+    values: fold_medians(), which all families share; they are taken here where they are not given. A fold whose target is constant, or whose
+    predictions or errors are not finite, raises.
     """
+    ours = isinstance(fit, (Baseline, Forest, Boosting))
+    if ours and values is None:
+        values = fold_medians(df, [] if isinstance(fit, Baseline) else features, folds, fit.exact)
+    together = fit.folds(df, features, values) if isinstance(fit, Boosting) else {}
+
     def one(k: int) -> tuple:
-        model = fit(df.where(F.col("fold") != k), features)
+        rest = df.where(F.col("fold") != k)
+        model = together[k] if together else fit(rest, features, values[k]) if ours else fit(rest, features)
         found = sound_metrics(predict(model, df.where(F.col("fold") == k)), f"{name}, fold {k}", C.TARGET, PREDICTED)
         return name, k, found["mae"], found["rmse"], found["r2"]
 

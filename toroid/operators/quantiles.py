@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 2048
+#: Bins of a pass over folds, for each column and range.
+FOLD_BINS = 512
 #: Relative accuracy of the approximate way is one in this number of rows.
 ACCURACY = 10_000
 #: Accuracy of the sketch that brackets a rank, and how far (as a share of all rows) the bracket reaches to both sides.
@@ -121,3 +123,83 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], exact: boo
 def quantile(df: DataFrame, column: Column | str, share: float, exact: bool = True) -> float | None:
     c = F.col(column) if isinstance(column, str) else column
     return quantiles(df, {"q": (c, share)}, exact)["q"]
+
+
+def _bin(c: Column, low: float, high: float, bins: int) -> Column:
+    """The bin of a value between low and high; halves, so that the range of the largest doubles doesn't overflow."""
+    return F.least(F.lit(bins - 1), F.floor((c / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2) * bins)).cast("int")
+
+
+def fold_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], fold: str, folds: int, exact: bool = True) -> dict[int, dict[str, float | None]]:
+    """For each fold 0..folds-1 the quantiles of the rows of the other folds (rows without a fold are in every one).
+
+    Rows are counted by their own fold, once, and what a fold does not see is taken off the whole, so all folds and columns
+    share three or four passes. Searches of one column share their bracket; bins that hold different folds' ranks are
+    cut on their own. exact=False takes one pass with a bounded sketch for each fold and column.
+    """
+    if not wanted:
+        return {k: {} for k in range(folds)}
+    names = list(wanted)
+    rows = df.select(F.coalesce(F.col(fold), F.lit(-1)).alias("fold"), *[wanted[name][0].cast("double").alias(f"q{i}") for i, name in enumerate(names)])
+    if not exact:
+        found = rows.agg(*[F.percentile_approx(F.when(F.col("fold") != k, F.col(f"q{i}")), wanted[name][1], ACCURACY).alias(f"q{k}_{i}") for k in range(folds) for i, name in enumerate(names)]).first()
+        return {k: {name: found[f"q{k}_{i}"] for i, name in enumerate(names)} for k in range(folds)}
+    inf, first = F.lit(math.inf), []
+    for i, name in enumerate(names):
+        c, share = F.col(f"q{i}"), wanted[name][1]
+        fine = F.when(F.abs(c) < inf, c)
+        rough = F.percentile_approx(fine, [max(0.0, share - REACH), min(1.0, share + REACH)], ROUGH)
+        first.append(F.struct(F.count(c), F.count_if(c == -inf), F.count_if(c == inf), F.min(fine), F.max(fine), rough).alias(f"q{i}"))
+    by_fold = {r["fold"]: r for r in rows.groupBy("fold").agg(*first).collect()}
+
+    def others(k: int) -> list[int]:
+        return [f for f in by_fold if f != k]
+
+    def least(values: list[float | None]) -> float | None:
+        return min((v for v in values if v is not None), default=None)
+
+    def most(values: list[float | None]) -> float | None:
+        return max((v for v in values if v is not None), default=None)
+
+    searches: dict[tuple[int, int], _Search] = {}
+    for i, name in enumerate(names):
+        for k in range(folds):
+            own = [by_fold[f][f"q{i}"] for f in others(k)]
+            n, low_inf, high_inf = (sum(r[j] for r in own) for j in range(3))
+            if n:
+                searches[i, k] = _Search(n, low_inf, high_inf, least([r[3] for r in own]), most([r[4] for r in own]), wanted[name][1])
+    rough = {}
+    for i in {i for (i, _), s in searches.items() if s.open()}:
+        ends = [r[f"q{i}"][5] for r in by_fold.values() if r[f"q{i}"][5]]
+        rough[i] = (min(e[0] for e in ends), max(e[1] for e in ends))
+    if rough:
+        outside = {r["fold"]: r for r in rows.groupBy("fold").agg(*[F.struct(F.count_if(F.col(f"q{i}") < F.lit(a)), F.count_if(F.col(f"q{i}") > F.lit(b))).alias(f"q{i}") for i, (a, b) in rough.items()]).collect()}
+        for (i, k), s in searches.items():
+            if s.open():
+                below, above = (sum(outside[f][f"q{i}"][j] for f in others(k)) for j in range(2))
+                s.bracket(*rough[i], below, above, sum(by_fold[f][f"q{i}"][0] for f in others(k)))
+    while still := {at: s for at, s in searches.items() if s.open()}:
+        ranges = sorted({(i, s.low, s.high) for (i, _), s in still.items()})
+        number = {r: j for j, r in enumerate(ranges)}
+        parts, near = [], F.lit(False)
+        for j, (i, low, high) in enumerate(ranges):
+            c = F.col(f"q{i}")
+            inside = (c >= F.lit(low)) & (c <= F.lit(high))
+            near = near | inside
+            parts.append(F.when(inside, F.struct(F.lit(j).alias("range"), _bin(c, low, high, FOLD_BINS).alias("bin"), c.alias("value"))))
+        counted = rows.where(near).select("fold", F.explode(F.array_compact(F.array(*parts))).alias("p")).groupBy("p.range", "p.bin", "fold").agg(F.count("*").alias("n"), F.min("p.value").alias("low"), F.max("p.value").alias("high"))
+        bins: dict[int, dict[int, dict[int, tuple]]] = {}
+        for r in counted.collect():
+            bins.setdefault(r["range"], {}).setdefault(r["bin"], {})[r["fold"]] = (r["n"], r["low"], r["high"])
+        for (i, k), s in still.items():
+            own = bins[number[i, s.low, s.high]]
+            seen = []
+            for b, by in own.items():
+                rest = [v for f, v in by.items() if f != k]
+                if rest:
+                    seen.append((b, sum(v[0] for v in rest), min(v[1] for v in rest), max(v[2] for v in rest)))
+            s.narrow(seen)
+            if s.open():  # the whole bin, other folds' values too: so searches in one bin keep one range
+                by = next(by for by in own.values() if min(v[1] for v in by.values()) <= s.low <= max(v[2] for v in by.values()))
+                s.low, s.high = min(v[1] for v in by.values()), max(v[2] for v in by.values())
+    return {k: {name: searches[i, k].value() if (i, k) in searches else None for i, name in enumerate(names)} for k in range(folds)}
