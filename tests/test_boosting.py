@@ -126,12 +126,12 @@ def test_folds_share_passes_and_equal_single_fits(spark):
 
 
 def test_early_stop_takes_fewer_rounds_for_the_same_error(spark):
-    x, y = sample(2500, 3)
+    x, y = sample(8000, 3)
     df = frame(spark, x, y, 5).cache()
     train, test = df.where("fold <> 0").drop("fold"), df.where("fold = 0").drop("fold")
     found = {}
     for early in (1000, 10**9):
-        model, passes = L.Boosting(40, 3, early_rows=early, rate=0.6)._fitted(train, FEATURES, {None: L.medians(train, FEATURES)})
+        model, passes = L.Boosting(40, 2, early_rows=early, rate=0.9)._fitted(train, FEATURES, {None: L.medians(train, FEATURES)})
         errors = L.predict(model[None], test).select(F.sqrt(F.avg((F.log1p(M.PREDICTED) - F.log1p(C.TARGET)) ** 2))).first()[0]
         found[early] = passes.rounds[0], errors
     assert B.PATIENCE < found[1000][0] < 40 == found[10**9][0]

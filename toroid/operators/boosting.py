@@ -32,7 +32,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toroid.operators.splits import hash48
+from toroid.config import SEED
 from toroid.sources.shared import materialise
 
 #: Bin numbers are bytes; the last one means that the value is missing.
@@ -41,30 +41,33 @@ BINS, MISSING = 255, 255
 MOST, LEAST, RATE = 31, 20, 0.05
 #: Rows above which a model sets VALIDATION of them aside, and rounds without gain (of over GAIN) after which it stops.
 EARLY_ROWS, VALIDATION, PATIENCE, GAIN = 10_000, 0.1, 10, 1e-7
+#: Rows that bin edges are taken from, about.
+EDGE_ROWS = 200_000
 #: Bytes of partial histograms that the driver adds up itself; above that, tasks add them first.
 DIRECT = 64 << 20
 #: Rounds between tables that cut the lineage.
 CUT = 25
 
 
-def bin_edges(df: DataFrame, features: list[str], bins: int = BINS) -> dict[str, list[float]]:
-    """Upper ends of all but the last bin of each feature, rising.
+def bin_edges(df: DataFrame, features: list[str], bins: int = BINS, rows: int = EDGE_ROWS) -> dict[str, list[float]]:
+    """Upper ends of all but the last bin of each feature, rising, from all rows or a sample of about `rows` of them.
 
-    A feature of `bins` values or fewer has a bin for each; others are cut at approximate quantiles. Missing values are left out;
-    a feature without any value has no edges. No target is looked at.
+    A feature of `bins` values or fewer has a bin for each; others are cut at quantiles. Missing and infinite values are
+    left out; a feature without any value has no edges. No target is looked at.
     """
-    values = {c: F.when(~F.isnan(c), F.col(c)) for c in features}
-    shares = [i / bins for i in range(1, bins)]
-    found = df.agg(*[F.struct(F.approx_count_distinct(v).alias("n"), F.percentile_approx(v, shares, 10_000).alias("cuts"), F.max(v).alias("top")).alias(c) for c, v in values.items()]).first()
-    few = [c for c in features if found[c]["n"] <= 2 * bins]
-    each = df.agg(*[F.collect_set(values[c]).alias(c) for c in few]).first() if few else {}
+    own = df.select(*[F.col(c).cast("double").alias(c) for c in features])
+    n = own.count()
+    found = (own if n <= rows else own.sample(rows / n, seed=1)).toArrow()
     edges = {}
     for c in features:
-        own = sorted(each[c]) if c in few else None
-        if own is not None and len(own) <= bins:
-            edges[c] = [a + (b - a) / 2 for a, b in zip(own, own[1:])]
+        v = found.column(c).to_numpy().astype(float)
+        v = v[np.isfinite(v)]
+        known = np.unique(v)
+        if len(known) <= bins:
+            edges[c] = (known[:-1] + (known[1:] - known[:-1]) / 2).tolist()
         else:
-            edges[c] = [v for v in sorted(set(found[c]["cuts"] or [])) if v < found[c]["top"]]
+            cuts = np.unique(np.quantile(v, np.arange(1, bins) / bins, method="midpoint"))
+            edges[c] = cuts[cuts < known[-1]].tolist()
     return edges
 
 
@@ -480,7 +483,7 @@ def fit_models(
     if not used:
         raise ValueError("every feature is missing in all rows")
     edges = edges or bin_edges(df, used, min(bins, BINS))
-    aside = hash48(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*used, label]])) < F.lit(int((1 << 48) * VALIDATION))
+    aside = F.pmod(F.xxhash64(F.lit(SEED), *[F.col(c) for c in [*used, label]]), F.lit(1000)) < int(1000 * VALIDATION)
     keys = list(fills)
     models = [Model(View(k, [int(bin_numbers(np.array([float(fills[k][c])]), edges[c])[0]) for c in used], rows[k] > early_rows)) for k in keys]
     chunks = chunked(df, used, edges, label, F.coalesce(F.col("fold"), F.lit(-1)) if "fold" in df.columns else F.lit(-1), aside, len(models))

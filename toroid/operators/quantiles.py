@@ -1,6 +1,6 @@
 """Exact quantiles of whole tables in bounded memory.
 
-A percentile aggregate holds every distinct value of a column in one buffer. Here a sketch brackets the wanted rank, a
+A percentile aggregate holds every distinct value of a column in one buffer. Here a sample brackets the wanted rank, a
 count makes sure that it does, and the bracket is cut into bins, the bin that holds the rank is cut again, and so on
 until the rank's value is known. A pass counts BINS rows for a column, whatever the size of the table, and works only on
 rows in a bracket, which are few.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,9 @@ BINS = 2048
 FOLD_BINS = 512
 #: Relative accuracy of the approximate way is one in this number of rows.
 ACCURACY = 10_000
-#: Accuracy of the sketch that brackets a rank, and how far (as a share of all rows) the bracket reaches to both sides.
-ROUGH, REACH = 1_000, 0.004
+#: Rows of the sample that brackets ranks (about), and how far (as a share of all rows) a bracket reaches to both sides: more than
+#: four standard deviations. A bracket that misses its rank costs passes, never the result.
+SAMPLE, REACH = 50_000, 0.01
 
 
 class _Search:
@@ -76,6 +78,25 @@ class _Search:
         return a if not self.part else (1 - self.part) * a + self.part * self.found[self.k + 1]
 
 
+def _brackets(rows: DataFrame, shares: dict[int, float], n: int) -> dict[int, tuple[float, float]]:
+    """Values of a bounded sample around the wanted rank of each column q0, q1, ...; columns without finite values are left out."""
+    if not shares:
+        return {}
+    found = rows.select(*[f"q{i}" for i in shares]).sample(min(1.0, SAMPLE / n), seed=1).toArrow()
+    out = {}
+    for i, share in shares.items():
+        v = found.column(f"q{i}").to_numpy().astype(float)
+        v = v[np.isfinite(v)]
+        if len(v):
+            out[i] = (float(np.quantile(v, max(0.0, share - REACH), method="lower")), float(np.quantile(v, min(1.0, share + REACH), method="higher")))
+    return out
+
+
+def _bin(c: Column, low: float, high: float, bins: int) -> Column:
+    """The bin of a value between low and high; halves, so that the range of the largest doubles doesn't overflow."""
+    return F.least(F.lit(bins - 1), F.floor((c / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2) * bins)).cast("int")
+
+
 def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], exact: bool = True) -> dict[str, float | None]:
     """The interpolated quantile of each named expression; missing values are left out, None where there is nothing else.
 
@@ -93,12 +114,10 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], exact: boo
     for i in range(len(names)):
         c = F.col(f"q{i}")
         fine = F.when(F.abs(c) < inf, c)
-        share = wanted[names[i]][1]
-        rough = F.percentile_approx(fine, [max(0.0, share - REACH), min(1.0, share + REACH)], ROUGH)
-        first.append(F.struct(F.count(c), F.count_if(c == -inf), F.count_if(c == inf), F.min(fine), F.max(fine), rough).alias(f"q{i}"))
+        first.append(F.struct(F.count(c), F.count_if(c == -inf), F.count_if(c == inf), F.min(fine), F.max(fine)).alias(f"q{i}"))
     ranges = rows.agg(*first).first()
     searches = {i: _Search(*ranges[i][:5], wanted[name][1]) for i, name in enumerate(names) if ranges[i][0]}
-    if rough := {i: ranges[i][5] for i, s in searches.items() if s.open() and ranges[i][5]}:
+    if rough := _brackets(rows, {i: wanted[names[i]][1] for i, s in searches.items() if s.open()}, max(r[0] for r in ranges)):
         outside = rows.agg(*[F.struct(F.count_if(F.col(f"q{i}") < F.lit(a)), F.count_if(F.col(f"q{i}") > F.lit(b))).alias(f"q{i}") for i, (a, b) in rough.items()]).first()
         for i, (a, b) in rough.items():
             searches[i].bracket(a, b, *outside[f"q{i}"], ranges[i][0])
@@ -106,11 +125,9 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], exact: boo
         parts, near = [], F.lit(False)
         for i, s in still.items():
             c = F.col(f"q{i}")
-            # halves, so that the range of the largest doubles doesn't overflow
-            bin_ = F.least(F.lit(BINS - 1), F.floor((c / 2 - F.lit(s.low / 2)) / F.lit(s.high / 2 - s.low / 2) * BINS)).cast("int")
             inside = (c >= F.lit(s.low)) & (c <= F.lit(s.high))
             near = near | inside
-            parts.append(F.when(inside, F.struct(F.lit(i).alias("column"), bin_.alias("bin"), c.alias("value"))))
+            parts.append(F.when(inside, F.struct(F.lit(i).alias("column"), _bin(c, s.low, s.high, BINS).alias("bin"), c.alias("value"))))
         counted = rows.where(near).select(F.explode(F.array_compact(F.array(*parts))).alias("p")).groupBy("p.column", "p.bin").agg(F.count("*").alias("n"), F.min("p.value").alias("low"), F.max("p.value").alias("high"))
         bins: dict[int, list] = {i: [] for i in still}
         for r in counted.collect():
@@ -125,11 +142,6 @@ def quantile(df: DataFrame, column: Column | str, share: float, exact: bool = Tr
     return quantiles(df, {"q": (c, share)}, exact)["q"]
 
 
-def _bin(c: Column, low: float, high: float, bins: int) -> Column:
-    """The bin of a value between low and high; halves, so that the range of the largest doubles doesn't overflow."""
-    return F.least(F.lit(bins - 1), F.floor((c / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2) * bins)).cast("int")
-
-
 def fold_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], fold: str, folds: int, exact: bool = True) -> dict[int, dict[str, float | None]]:
     """For each fold 0..folds-1 the quantiles of the rows of the other folds (rows without a fold are in every one).
 
@@ -145,11 +157,10 @@ def fold_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], fold:
         found = rows.agg(*[F.percentile_approx(F.when(F.col("fold") != k, F.col(f"q{i}")), wanted[name][1], ACCURACY).alias(f"q{k}_{i}") for k in range(folds) for i, name in enumerate(names)]).first()
         return {k: {name: found[f"q{k}_{i}"] for i, name in enumerate(names)} for k in range(folds)}
     inf, first = F.lit(math.inf), []
-    for i, name in enumerate(names):
-        c, share = F.col(f"q{i}"), wanted[name][1]
+    for i in range(len(names)):
+        c = F.col(f"q{i}")
         fine = F.when(F.abs(c) < inf, c)
-        rough = F.percentile_approx(fine, [max(0.0, share - REACH), min(1.0, share + REACH)], ROUGH)
-        first.append(F.struct(F.count(c), F.count_if(c == -inf), F.count_if(c == inf), F.min(fine), F.max(fine), rough).alias(f"q{i}"))
+        first.append(F.struct(F.count(c), F.count_if(c == -inf), F.count_if(c == inf), F.min(fine), F.max(fine)).alias(f"q{i}"))
     by_fold = {r["fold"]: r for r in rows.groupBy("fold").agg(*first).collect()}
 
     def others(k: int) -> list[int]:
@@ -168,14 +179,11 @@ def fold_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], fold:
             n, low_inf, high_inf = (sum(r[j] for r in own) for j in range(3))
             if n:
                 searches[i, k] = _Search(n, low_inf, high_inf, least([r[3] for r in own]), most([r[4] for r in own]), wanted[name][1])
-    rough = {}
-    for i in {i for (i, _), s in searches.items() if s.open()}:
-        ends = [r[f"q{i}"][5] for r in by_fold.values() if r[f"q{i}"][5]]
-        rough[i] = (min(e[0] for e in ends), max(e[1] for e in ends))
-    if rough:
+    total = max((sum(r[f"q{i}"][0] for r in by_fold.values()) for i in range(len(names))), default=0)
+    if rough := _brackets(rows, {i: wanted[names[i]][1] for i in sorted({i for (i, _), s in searches.items() if s.open()})}, total):
         outside = {r["fold"]: r for r in rows.groupBy("fold").agg(*[F.struct(F.count_if(F.col(f"q{i}") < F.lit(a)), F.count_if(F.col(f"q{i}") > F.lit(b))).alias(f"q{i}") for i, (a, b) in rough.items()]).collect()}
         for (i, k), s in searches.items():
-            if s.open():
+            if s.open() and i in rough:
                 below, above = (sum(outside[f][f"q{i}"][j] for f in others(k)) for j in range(2))
                 s.bracket(*rough[i], below, above, sum(by_fold[f][f"q{i}"][0] for f in others(k)))
     while still := {at: s for at, s in searches.items() if s.open()}:
