@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from toroid.functions import physics as P
 from toroid.operators import normalise as N
 from toroid.operators.shots import aggregate_shots
-from toroid.plans.prepare import prepare_frame
-from toroid.sources.samples import read_samples, resolve_source, synthetic_shots
+from toroid.operators.audit import audit
+from toroid.plans.prepare import prepare, prepare_frame
+from toroid.sources.samples import read_raw, read_samples, resolve_source, surplus_rows, synthetic_shots
 
 
 def aliased(spark):
@@ -40,6 +41,40 @@ def test_names_that_differ_in_case(spark, tmp_path):
     assert rows[1].confinement_time_s == 0.6 and rows[1].fuel_density_m3 is None and rows[1].neutron_yield is None
 
 
+def test_files_with_other_column_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("temperature_keV,neutron_yield\n10,5\n11,6\n")
+    (tmp_path / "b.csv").write_text("neutron_yield,temperature_keV\n7,20\n")
+    df, _ = read_samples(spark, str(tmp_path))
+    assert sorted((r.temperature_keV, r.neutron_yield) for r in df.collect()) == [("10", "5"), ("11", "6"), ("20", "7")]
+    (tmp_path / "c.csv").write_text("neutron_yield,temperature_keV,kappa\n7,20,1\n")
+    with pytest.raises(ValueError, match="c.csv.*kappa"):
+        read_samples(spark, str(tmp_path))
+
+
+def test_ragged_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("temperature_keV,neutron_yield,kappa\n10,5\n11,6,1.5\n")
+    assert [r.kappa for r in read_samples(spark, str(tmp_path))[0].orderBy("temperature_keV").collect()] == [None, "1.5"]
+    for surplus in ("99", '""', "98,97"):
+        (tmp_path / "b.csv").write_text(f"temperature_keV,neutron_yield,kappa\n12,7,1.6,{surplus}\n")
+        with pytest.raises(Exception, match="more fields than the 3 columns"):
+            read_samples(spark, str(tmp_path))[0].select("neutron_yield").collect()
+    found = surplus_rows(spark, str(tmp_path)).collect()
+    assert len(found) == 1 and found[0].file.endswith("b.csv") and found[0].fields == ["12", "7", "1.6", "98"]
+
+
+def test_the_raw_table_is_audited(spark, tmp_path):
+    lines = ["density_m3,temperature_eV,tau_E,yield,regime"] + [f"1e20,{12000 + i},{'NA' if i == 3 else 0.5},{i + 1},H" for i in range(20)]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    found = audit(read_raw(spark, str(tmp_path / "a.csv")))
+    assert found["shape"] == [20, 5] and found["null_counts"] == {"density_m3": 0, "temperature_eV": 0, "tau_E": 1, "yield": 0, "regime": 0}
+    assert found["dtypes"] == {"density_m3": "double", "temperature_eV": "double", "tau_E": "double", "yield": "double", "regime": "string"}
+    assert "target_distribution" not in found  # only a column of that very name is described
+    (tmp_path / "b.csv").write_text("\n".join([lines[0].replace("yield", "neutron_yield"), *(line.replace("NA", "0.5") for line in lines[1:])]) + "\n")
+    prepared = prepare(spark, str(tmp_path / "b.csv"))
+    assert "density_m3" in prepared.audit["dtypes"] and prepared.audit["target_distribution"]["median"] == 10.5
+    assert prepared.mapping["density_m3"] == "fuel_density_m3" and prepared.frame.count() == 20
+
+
 @pytest.mark.parametrize(("text", "number"), [("1.5d", None), (" 2.5 ", 2.5), ("inf", math.inf), ("-Infinity", -math.inf), ("1e3", 1000.0), (".5", 0.5), ("5.", 5.0), ("", None), ("abc", None), ("nan", None), ("1_0", None), ("+7", 7.0), ("0x10", None)])
 def test_coercion(spark, text, number):
     df = spark.createDataFrame([(text,)], "pressure_Pa string")

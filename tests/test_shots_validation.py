@@ -5,6 +5,7 @@ from toroid import config as C
 from toroid.operators import validate as V
 from toroid.operators.audit import audit, duplicates, null_counts
 from toroid.operators.features import engineer
+from toroid.operators import shots
 from toroid.operators.shots import collapse, pre_window
 from toroid.functions import physics as P
 
@@ -33,6 +34,33 @@ def test_collapse_kinds(spark):
     assert r.note == 4.0 and r.flag == 1.0 and r.neutron_yield == 100.0 and r.time_s == 1.5
 
 
+def _shots(spark):
+    """Shots of 1 to 12 rows, three giant ones (one of equal times, one of missing times), rows without a shot."""
+    small = [(s, float(t % 5), t, f"r{t % 3}", "7.5", float(s * t % 11), None if t % 4 else 2.0, float(t)) for s in range(30) for t in range(1 + s % 12)]
+    rows = small + [(100, float(t % 977), t, f"r{t * t % 5}", str(t % 50), float(t * 7919 % 1000), 3.0, float(t)) for t in range(4001)]
+    rows += [(101, 1.0, t, "b" if t % 2 else "a", "1", float(t), None, 5.0) for t in range(2500)] + [(102, None, t, None, "2", float(-t), 1.0, None) for t in range(1500)]
+    rows += [(None, 0.0, t, "n", "3", 1.0, 1.0, 9.0) for t in range(1200)]
+    return spark.createDataFrame(rows, "shot_id int, time_s double, k int, regime string, note string, x double, y double, neutron_yield double").repartition(5)
+
+
+def test_giant_shots_equal_usual_ones(spark):
+    df = _shots(spark)
+    usual, dealt = (pre_window(df, ("k",), giant=g, cell=300).collect() for g in (10**9, 1000))
+    assert sorted(map(repr, usual)) == sorted(map(repr, dealt))
+    usual, dealt = ({r.shot_id: r for r in collapse(df, ("k",), giant=g, cell=300).collect()} for g in (10**9, 1000))
+    assert len(usual) == 33 and usual == dealt
+
+
+def test_cells_of_a_giant_shot_are_bounded(spark):
+    df = spark.range(40_000).select(F.lit(1).alias("shot_id"), F.floor(F.col("id") / 20_000).cast("double").alias("time_s"), F.col("id").alias("k"), F.lit("same").alias("regime"), (F.col("id") % 3).cast("double").alias("x"))
+    order = [F.col(c) for c in ("shot_id", "time_s", "k")]
+    cells = [r["count"] for r in shots._in_cells(df, order, 1000).groupBy("_cell").count().collect()]
+    assert max(cells) <= 3000 and len(cells) >= 20
+    few = shots._counts(df, {"x": F.col("x")}, "shot_id")
+    assert few.count() == 3  # what a median is searched in: different values, not rows
+    assert collapse(df, ("k",), giant=1000, cell=1000).collect() == collapse(df, ("k",)).collect()
+
+
 def test_one_exchange(spark):
     df = spark.createDataFrame([(1, 0.0, 1.0)], "shot_id int, time_s double, neutron_yield double")
     plan = collapse(df)._jdf.queryExecution().executedPlan().toString()

@@ -10,7 +10,7 @@ from toroid.operators.audit import audit
 from toroid.operators.features import engineer
 from toroid.operators.normalise import canonical, feature_columns
 from toroid.operators.shots import aggregate_shots
-from toroid.sources.samples import read_samples, resolve_source, synthetic_shots
+from toroid.sources.samples import read_raw, read_samples, resolve_source, synthetic_shots
 from toroid.sources.shared import materialise
 
 
@@ -34,7 +34,7 @@ def prepare_frame(df: DataFrame, ties: tuple[str, ...] = (), row_key: list[str]
 def prepare(spark: SparkSession, path: str | None = None, *, allow_synthetic: bool = False, synthetic_rows: int = 600, ties: tuple[str, ...] = (), exact: bool = True) -> C.Prepared:
     """A prepared table from a path, or from synthetic shots if that is allowed."""
     source, kind = resolve_source(path, allow_synthetic)
-    raw, mapping = read_samples(spark, source) if source else (synthetic_shots(spark, synthetic_rows), {})
-    profile = audit(raw, exact=exact)
-    frame, own = prepare_frame(raw, ties)
+    samples, mapping = read_samples(spark, source) if source else (synthetic_shots(spark, synthetic_rows), {})
+    profile = audit(read_raw(spark, source) if source else samples, exact=exact)  # of the table as it came
+    frame, own = prepare_frame(samples, ties)
     return C.Prepared(frame, profile, mapping or own, feature_columns(frame.columns), kind, path)

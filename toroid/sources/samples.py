@@ -9,28 +9,94 @@ from pyspark.sql import functions as F
 
 from toroid import config as C
 from toroid.functions import physics as P
-from toroid.functions.numbers import MISSING
-from toroid.operators.normalise import case_sensitive, column_mapping, rename, renamed
+from toroid.functions.numbers import MISSING, is_number, to_number
+from toroid.operators.normalise import case_sensitive, column_mapping, renamed
+
+
+def _headers(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """(files, column names) for each different header line of the CSV files under a path."""
+    files = spark.read.text(path).inputFiles()
+    if len(files) <= 1:
+        return [(files or [path], _csv_names(spark, files or path))]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    first = lines.where("start = 0 and trim(value) <> ''").groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    groups = first.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    found = [(r["files"], _csv_names(spark, r["files"][0])) for r in sorted(groups, key=lambda r: r["files"])]
+    for own, names in found:
+        if sorted(names) != sorted(found[0][1]):
+            raise ValueError(f"{own[0]} has the columns {names}, but {found[0][0][0]} has {found[0][1]}.")
+    return found
+
+
+def _csv_names(spark: SparkSession, files: list[str] | str) -> list[str]:
+    with case_sensitive(spark):
+        return spark.read.csv(files, header=True, inferSchema=False).columns
+
+
+def _csv_rows(spark: SparkSession, files: list[str], names: list[str], out: list[str]) -> DataFrame:
+    """Rows of files with one header, by position, in the order of `out` (columns c0, c1, ...); missing-value tokens are null.
+
+    A row with fewer fields than the header ends in nulls; one with more is an error as soon as it is read
+    (but for a bare comma at the end, which loses nothing).
+    """
+    own = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join(f"{c} string" for c in [*own, "surplus"])
+    df = spark.read.csv(files, header=True, enforceSchema=True, schema=schema, nullValue="\0")  # so that a quoted empty surplus field is one, too
+    said = F.concat(F.lit(f"a row has more fields than the {len(names)} columns of its header: "), F.concat_ws(",", *own, "surplus"))
+    checked = F.when(F.col("surplus").isNotNull(), F.raise_error(said))
+    return df.select(*[checked.when(~F.col(own[names.index(c)]).isin(*MISSING), F.col(own[names.index(c)])).alias(f"c{i}") for i, c in enumerate(out)])
+
+
+def surplus_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, fields): the rows of CSV files that have more fields than their header, for a report instead of an error."""
+    out = spark.createDataFrame([], "file string, fields array<string>")
+    for files, names in _headers(spark, path):
+        own = [f"c{i}" for i in range(len(names))]
+        df = spark.read.csv(files, header=True, enforceSchema=True, schema=", ".join(f"{c} string" for c in [*own, "surplus"]), nullValue="\0")
+        out = out.unionByName(df.where("surplus is not null").select(F.col("_metadata.file_path").alias("file"), F.array(*own, "surplus").alias("fields")))
+    return out
+
+
+def _read(spark: SparkSession, path: str, kind: str | None) -> tuple[DataFrame, list[str]]:
+    """Rows of a path and the names of its columns, which the rows of CSV files carry only by position."""
+    kind = kind or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
+    if kind == "parquet":
+        with case_sensitive(spark):
+            names = spark.read.parquet(path).columns
+        return spark.read.parquet(path), names
+    found = _headers(spark, path)
+    names = found[0][1]
+    rows = [_csv_rows(spark, files, own, names) for files, own in found]
+    out = rows[0]
+    for other in rows[1:]:
+        out = out.unionByName(other)
+    return out, names
+
+
+def read_raw(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """A file's rows as they are, for the audit: raw names (one that differs from another only in case gets an ending), and
+    columns of a CSV file as doubles where every value is a number (one pass)."""
+    rows, names = _read(spark, path, kind)
+    df = rows.toDF(*renamed(names, {}))
+    text = [f.name for f in df.schema if f.dataType.typeName() == "string"]
+    if not text:
+        return df
+    found = df.agg(*[F.struct(F.bool_and(is_number(F.col(f"`{c}`"))).alias("all"), F.count(F.col(f"`{c}`")).alias("n")).alias(f"t{i}") for i, c in enumerate(text)]).first()
+    numbers = {c for i, c in enumerate(text) if found[i]["n"] and found[i]["all"]}
+    return df.select(*[to_number(F.col(f"`{c}`"), df.schema[c].dataType).alias(c) if c in numbers else F.col(f"`{c}`") for c in df.columns])
 
 
 def read_samples(spark: SparkSession, path: str, kind: str | None = None) -> tuple[DataFrame, dict[str, str]]:
     """A file's rows under canonical column names, and the mapping used. kind: csv or parquet (by the path's end if None).
 
-    CSV columns are text with missing-value tokens as null; numbers are made of them by coercion, not by inference, so
-    no extra pass over the file is needed. CSV names that differ only in case are told apart; a Parquet file with such names
-    can be read only in a session with spark.sql.caseSensitive set.
+    CSV columns are text with missing-value tokens as null; numbers are made of them by coercion, not by inference. The header of every
+    file of a folder is read: columns may stand in another order, but must be the same. CSV names that
+    differ only in case are told apart; a Parquet file with such names can be read only in a session with
+    spark.sql.caseSensitive set.
     """
-    kind = kind or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
-    with case_sensitive(spark):
-        names = (spark.read.csv(path, header=True, inferSchema=False) if kind == "csv" else spark.read.parquet(path)).columns
+    rows, names = _read(spark, path, kind)
     mapping = column_mapping(names)
-    if kind == "csv":
-        # read by position: a scan under the session's own setting could not tell such names apart
-        own = [f"c{i}" for i in range(len(names))]
-        df = spark.read.csv(path, header=True, enforceSchema=True, schema=", ".join(f"{c} string" for c in own))
-        df = df.select(*[F.when(~F.col(c).isin(*MISSING), F.col(c)).alias(c) for c in own])
-        return df.toDF(*renamed(names, mapping)), mapping
-    return rename(spark.read.parquet(path), mapping), mapping
+    return rows.toDF(*renamed(names, mapping)), mapping
 
 
 def resolve_source(path: str | None, allow_synthetic: bool) -> tuple[str | None, str]:
