@@ -49,7 +49,7 @@ SELECT shot_id, time_s, regime, fuel_density_m3, temperature_keV,
   CASE WHEN k2 % 71 = 0 THEN 12e-1 ELSE fuel_purity END AS fuel_purity, energy_input_MJ,
   CASE WHEN k2 % 97 = 0 THEN -1e0 ELSE pressure_Pa END AS pressure_Pa,
   CASE WHEN k2 % 89 = 0 THEN NULL ELSE Ip_MA END AS Ip_MA, Bt_T, R_m,
-  CASE WHEN k2 % 73 = 0 THEN R_m ELSE a_m END AS a_m, kappa,
+  CASE WHEN k2 % 73 = 0 THEN R_m ELSE a_m END AS a_m, CASE WHEN k2 % 109 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN k2 % 113 = 0 THEN CAST('-Infinity' AS DOUBLE) ELSE kappa END AS kappa,
   CASE WHEN k2 % 79 = 0 THEN ne_20*15e-1 ELSE ne_20 END AS ne_20,
   M_amu, Pin_MW, neutron_yield, k1, k2, k3, k4 FROM {samples}
 UNION ALL SELECT shot_id, time_s, regime, fuel_density_m3, temperature_keV, confinement_time_s, fuel_purity,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,19 +21,22 @@ from toroid.operators import shots as H
 from toroid.operators import splits as S
 from toroid.operators import validate as V
 from toroid.operators.features import engineer
-from toroid.operators.quantiles import quantile
+from toroid.operators.quantiles import fold_quantiles, quantile
 from toroid.sources.samples import read_samples, synthetic_shots
-from toroid.sources.shared import materialise, new_path, table
+from toroid.sources.shared import materialise, new_path, stamp, table
 from toroid.sources.sinks import write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The SQL of queries before the derived tables are put in front, for a second query with the same result.
+ORACLE_BODY: dict[str, str] = {}
 KEY = ("shot_id", *X.TIES)
 #: Tree sizes in queries; full sizes are the defaults of the families.
 SMALL = {"trees": 20, "tree_depth": 8, "rounds": 20, "boost_depth": 5, "bins": 255}
-#: Prepared splits by session and folder, so that model queries do not derive and split the same samples again.
-_SPLITS: dict[tuple[str, str], tuple[DataFrame, list[str]]] = {}
+#: By session and folder: the stamp of the table read, the prepared split, features, and models fitted so far, so that model
+#: queries do not derive, split and fit the same again. Other data mean another stamp, and all is made anew.
+_SPLITS: dict[tuple[str, str], tuple[tuple, DataFrame, list[str], dict[str, PipelineModel]]] = {}
 
 
 def query(sql: str | None = None, plain: bool = False) -> Callable[[Query], Query]:
@@ -40,6 +44,7 @@ def query(sql: str | None = None, plain: bool = False) -> Callable[[Query], Quer
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
+            ORACLE_BODY[f.__name__] = sql
             ORACLE_SQL[f.__name__] = sql if plain else X.with_sql(sql)
         return f
     return add
@@ -71,6 +76,19 @@ def csv_source(spark, sf_dir):
     return df.select(*whole, F.round("k4", 2).alias("k4"), r6("temperature_keV").alias("temperature_kev"), r6("confinement_time_s").alias("confinement_time_s"), r6(C.TARGET, 1e9).alias("yield_1e9"))
 
 
+@query(ORACLE_BODY["csv_source"])
+def csv_folder(spark, sf_dir):
+    """The same from a folder of files whose columns stand in two orders."""
+    df, path = X.derived(spark, sf_dir, "aliased"), new_path(spark, "csv")
+    odd = F.col("k2") % 2 == 1
+    write_table(df.where(~odd), path, "csv")
+    df.where(odd).select(*reversed(df.columns)).write.mode("append").option("header", True).csv(path)
+    back, _ = N.canonical(read_samples(spark, path, "csv")[0])
+    back = back.withColumns({c: to_number(F.col(c), back.schema[c].dataType) for c in KEY})
+    whole = [F.col(c).cast("long").alias(c) for c in KEY[:-1]]
+    return back.select(*whole, F.round("k4", 2).alias("k4"), r6("temperature_keV").alias("temperature_kev"), r6("confinement_time_s").alias("confinement_time_s"), r6(C.TARGET, 1e9).alias("yield_1e9"))
+
+
 _U = "(('0x' || substr(md5('42:{0}:' || i), 1, 12))::bigint)::double / 281474976710656e0"
 
 
@@ -273,6 +291,13 @@ def shot_mode(spark, sf_dir):
     return df.select("shot_id", "regime", r6("signal").alias("signal"))
 
 
+@query(ORACLE_BODY["shot_mode"])
+def shot_dealt(spark, sf_dir):
+    """The same groups, those of over 40 rows as giant shots: dealt into cells, their leading part and medians found by counts."""
+    df = H.collapse(X.events(spark, sf_dir), ("k1",), giant=40, cell=5_000)
+    return df.select("shot_id", "regime", r6("signal").alias("signal"))
+
+
 @query(f"SELECT shot_id, round(median(temperature_keV) FILTER (WHERE pre), 6) AS temperature_kev, round(max(neutron_yield) / 1e9, 6) AS neutron_yield FROM (SELECT *, {_PRE4} FROM null_shots WHERE shot_id IS NOT NULL) GROUP BY shot_id")
 def shot_null_key(spark, sf_dir):
     """Rows without a shot are left out when shots are collapsed."""
@@ -366,30 +391,49 @@ def baseline_predict(spark, sf_dir):
     return L.predict(L.fit_baseline(df, []), df).select(*KEY[:-1], r6(M.PREDICTED, 1e9).alias("predicted"))
 
 
-def _trained_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Engineered samples, stored once a session: rows to train on, held-out shots, features."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _SPLITS:
+def _prepared(spark, sf_dir) -> tuple[DataFrame, list[str], dict[str, PipelineModel]]:
+    """Engineered samples with is_test, features, and the models fitted so far."""
+    at, now = (spark.sparkContext.applicationId, sf_dir), stamp(spark, f"{sf_dir}/lineitem.parquet")
+    if at not in _SPLITS or _SPLITS[at][0] != now:
         df = engineer(X.samples(spark, sf_dir))
-        _SPLITS[at] = materialise(S.shot_holdout(df)), N.feature_columns(df.columns)
-    split, features = _SPLITS[at]
+        _SPLITS[at] = now, materialise(S.shot_holdout(df)), N.feature_columns(df.columns), {}
+    return _SPLITS[at][1:]
+
+
+def _trained_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows to train on, held-out shots, features."""
+    split, features, _ = _prepared(spark, sf_dir)
     return split.where("not is_test"), split.where("is_test"), features
 
 
+def _fitted(spark, sf_dir, family: str) -> PipelineModel:
+    """A family's model at the sizes of queries, fitted once."""
+    split, features, models = _prepared(spark, sf_dir)
+    if family not in models:
+        models[family] = L.registry(**SMALL)[family](split.where("not is_test"), features)
+    return models[family]
+
+
 @query()
 def rf_predict(spark, sf_dir):
     """Predictions of a small forest for the held-out shots."""
-    train, test, features = _trained_rows(spark, sf_dir)
-    model = L.fit_random_forest(train, features, SMALL["trees"], SMALL["tree_depth"], SMALL["bins"])
-    return L.predict(model, test).select(*KEY, C.TARGET, M.PREDICTED)
+    _, test, _ = _trained_rows(spark, sf_dir)
+    return L.predict(_fitted(spark, sf_dir, "random_forest"), test).select(*KEY, C.TARGET, M.PREDICTED)
 
 
 @query()
 def gbt_predict(spark, sf_dir):
     """Predictions of short boosting for the held-out shots."""
-    train, test, features = _trained_rows(spark, sf_dir)
-    model = L.fit_boosting(train, features, SMALL["rounds"], SMALL["boost_depth"], SMALL["bins"])
-    return L.predict(model, test).select(*KEY, C.TARGET, M.PREDICTED)
+    _, test, _ = _trained_rows(spark, sf_dir)
+    return L.predict(_fitted(spark, sf_dir, "hist_gradient_boosting"), test).select(*KEY, C.TARGET, M.PREDICTED)
+
+
+@query()
+def gbt_cross_validation(spark, sf_dir):
+    """Five folds of short boosting, grown side by side over one binned table."""
+    train, _, features = _trained_rows(spark, sf_dir)
+    folds = materialise(S.shot_folds(train).select("shot_id", "fold", *features, C.TARGET))
+    return L.cross_validate(folds, features, L.Boosting(10, SMALL["boost_depth"], SMALL["bins"]), 5, "hist_gradient_boosting")
 
 
 _CV = f"""f AS ({_GROUP_FOLDS}), x AS (SELECT s.*, f.fold FROM samples s JOIN f ON s.shot_id = f.shot_id),
@@ -397,6 +441,16 @@ _CV = f"""f AS ({_GROUP_FOLDS}), x AS (SELECT s.*, f.fold FROM samples s JOIN f
   e AS (SELECT x.fold, sqrt(avg(pow(x.neutron_yield - m.p, 2))) AS rmse, avg(abs(x.neutron_yield - m.p)) AS mae FROM x JOIN m ON x.fold = m.fold GROUP BY x.fold)"""
 
 
+@query(f", {_CV} SELECT k.fold, round(median(x.confinement_time_s), 6) AS confinement_time_s, round(median(x.pressure_Pa) / 1e5, 6) AS pressure_pa, round(median(x.energy_input_MJ), 6) AS energy_input_mj FROM x JOIN (SELECT DISTINCT fold FROM x) k ON x.fold <> k.fold GROUP BY k.fold")
+def fold_medians(spark, sf_dir):
+    """What missing values of each fold's training rows would be replaced by: medians of all folds and columns from shared passes."""
+    names = ["confinement_time_s", "pressure_Pa", "energy_input_MJ"]
+    folds = materialise(S.shot_folds(X.samples(spark, sf_dir)).select("fold", *names))
+    found = fold_quantiles(folds, {c: (F.col(c), 0.5) for c in names}, "fold", 5)
+    rows = spark.createDataFrame([(k, *[v[c] for c in names]) for k, v in found.items()], ", ".join(["fold int", *[f"{c} double" for c in names]]))
+    return rows.select("fold", *[r6(c, _scale(c)).alias(c.lower()) for c in names])
+
+
 @query(f", {_CV} SELECT 'baseline' AS model, round(avg(rmse) / 1e9, 6) AS cv_rmse_mean, round(stddev_pop(rmse) / 1e9, 6) AS cv_rmse_std, round(avg(mae) / 1e9, 6) AS cv_mae_mean, round(stddev_pop(mae) / 1e9, 6) AS cv_mae_std FROM e")
 def cv_baseline(spark, sf_dir):
     folds = materialise(S.shot_folds(X.samples(spark, sf_dir)).select("shot_id", "fold", C.TARGET))
@@ -437,17 +491,16 @@ def metrics_table(spark, sf_dir):
 @query()
 def holdout_comparison(spark, sf_dir):
     """Holdout metrics of every family, beside the baseline's."""
-    train, test, features = _trained_rows(spark, sf_dir)
-    metrics = {name: M.sound_metrics(L.predict(fit(train, features), test), f"{name} holdout", C.TARGET, M.PREDICTED) for name, fit in L.registry(**SMALL).items()}
+    _, test, _ = _trained_rows(spark, sf_dir)
+    metrics = {name: M.sound_metrics(L.predict(_fitted(spark, sf_dir, name), test), f"{name} holdout", C.TARGET, M.PREDICTED) for name in L.registry(**SMALL)}
     base = metrics["baseline"]["rmse"]
     rows = [(name, m["mae"], m["rmse"], m["r2"], base, m["rmse"] < base) for name, m in metrics.items()]
     return spark.createDataFrame(rows, "model string, mae double, rmse double, r2 double, baseline_rmse double, beats_baseline boolean")
 
 
 def _importance(spark, sf_dir) -> DataFrame:
-    train, _, features = _trained_rows(spark, sf_dir)
-    model = L.fit_random_forest(train, features, SMALL["trees"], SMALL["tree_depth"], SMALL["bins"])
-    return spark.createDataFrame(L.importance(model, features), "feature string, importance double")
+    _, _, features = _trained_rows(spark, sf_dir)
+    return spark.createDataFrame(L.importance(_fitted(spark, sf_dir, "random_forest"), features), "feature string, importance double")
 
 
 @query()

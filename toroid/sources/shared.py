@@ -34,5 +34,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, lengths and modification times of the files of a path: another stamp means other data."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
