@@ -12,7 +12,7 @@ from toroid.operators import metrics as M
 from toroid.operators import models as L
 from toroid.operators import scoring as R
 from toroid.operators import splits as S
-from toroid.plans.score import score_requests
+from toroid.plans.score import score_published, score_requests
 from toroid.plans.train import train
 from toroid.sources import sinks
 from toroid.sources.samples import synthetic_shots
@@ -125,6 +125,33 @@ def test_train_and_score_end_to_end(spark, tmp_path):
     assert isinstance(sinks.read_model(spark, out["paths"]["model"]), PipelineModel)
 
 
+def test_a_run_that_dies_leaves_the_published_one(spark, tmp_path, monkeypatch):
+    rows = [(1e20, 15.0, 1.0 + i / 10, float(i + 1)) for i in range(15)]
+    df = spark.createDataFrame(rows, "fuel_density_m3 double, temperature_keV double, confinement_time_s double, neutron_yield double")
+    source, out = sinks.write_table(df, str(tmp_path / "in.parquet")), str(tmp_path / "out")
+    with pytest.raises(FileNotFoundError, match="published"):
+        sinks.published(spark, out)
+    first = train(spark, source, out, families={"baseline": L.fit_baseline})
+    assert sinks.published(spark, out, verify=True) == first["paths"]
+    request = df.drop("neutron_yield").withColumn("id", F.lit(1))
+    before = score_published(request, out, row_key=["id"]).select("predicted_neutron_yield").collect()
+
+    higher = sinks.write_table(df.withColumn("neutron_yield", F.col("neutron_yield") * 5), str(tmp_path / "in2.parquet"))
+    for broken in ("write_model", "write_document", "publish"):  # dies before the second, the last, and the very last step
+        with monkeypatch.context() as m:
+            m.setattr(sinks, broken, lambda *a, **b: (_ for _ in ()).throw(OSError("killed")))
+            with pytest.raises(OSError, match="killed"):
+                train(spark, higher, out, families={"baseline": L.fit_baseline})
+        assert sinks.published(spark, out, verify=True) == first["paths"]
+        assert score_published(request, out, row_key=["id"]).select("predicted_neutron_yield").collect() == before
+    second = train(spark, higher, out, families={"baseline": L.fit_baseline})
+    assert sinks.published(spark, out, verify=True) == second["paths"] != first["paths"]
+    assert score_published(request, out, row_key=["id"]).first()["predicted_neutron_yield"] > before[0][0]
+    sinks.write_document(spark, {"other": 1}, second["paths"]["metadata"])
+    with pytest.raises(ValueError, match="changed.*metadata"):
+        sinks.published(spark, out, verify=True)
+
+
 @pytest.mark.parametrize("change", [{"confinement_time_s": -1.0}, {"pressure_Pa": -1.0}, {"ne_20": 1.25}])
 def test_scoring_rejects(spark, change):
     row = {"fuel_density_m3": 1e20, "temperature_keV": 15.0, "confinement_time_s": 3.0, "pressure_Pa": 1e5, "ne_20": 1.0} | change

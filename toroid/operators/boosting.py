@@ -45,6 +45,8 @@ EARLY_ROWS, VALIDATION, PATIENCE, GAIN = 10_000, 0.1, 10, 1e-7
 EDGE_ROWS = 200_000
 #: Bytes of partial histograms that the driver adds up itself; above that, tasks add them first.
 DIRECT = 64 << 20
+#: Bytes of chunks that a task of a pass has at least, where there are so many.
+TASK_BYTES = 8 << 20
 #: Rounds between tables that cut the lineage.
 CUT = 25
 
@@ -219,6 +221,9 @@ def _filled(codes: np.ndarray, fill: list[int]) -> np.ndarray:
     return np.where(codes == MISSING, np.array(fill, np.uint8)[:, None], codes) if (codes == MISSING).any() else codes
 
 
+_CHUNK = "n int, codes binary, label binary, fold binary, aside binary, score binary"
+
+
 def chunked(df: DataFrame, features: list[str], edges: dict[str, list[float]], label: str, fold: Column, validation: Column, scores: int) -> DataFrame:
     """Rows in chunks of arrays: (n, codes, label, fold, aside, score), written to the shared folder."""
 
@@ -232,10 +237,9 @@ def chunked(df: DataFrame, features: list[str], edges: dict[str, list[float]], l
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in arrays)], ["n", "codes", "label", "fold", "aside", "score"])
 
     rows = df.select(*[F.col(c).cast("double") for c in features], F.col(label).cast("double"), fold.cast("int"), validation.cast("boolean"))
-    return materialise(rows.mapInArrow(run, "n int, codes binary, label binary, fold binary, aside binary, score binary"))
-
-
-_CHUNK = "n int, codes binary, label binary, fold binary, aside binary, score binary"
+    held = materialise(rows.mapInArrow(run, _CHUNK))
+    size = (held.agg(F.sum("n")).first()[0] or 0) * (len(features) + 11 + 8 * scores)
+    return held.coalesce(max(1, size // TASK_BYTES))  # passes over little data are mostly the start of tasks
 
 
 @dataclass

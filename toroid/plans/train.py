@@ -21,7 +21,11 @@ def row_key(df: DataFrame) -> F.Column:
 
 
 def train(spark: SparkSession, path: str | None, out_dir: str, *, allow_synthetic: bool = False, families: dict[str, L.Family] | None = None, exact: bool = True, **prepare_options) -> dict:
-    """Prepare, compare, choose by cross-validation, report on the holdout, refit the winner on all rows and save it."""
+    """Prepare, compare, choose by cross-validation, report on the holdout, refit the winner on all rows and save it.
+
+    All parts go into a folder of this run; out_dir's manifest names it once the run is complete (see sinks.published).
+    """
+    top, out_dir = out_dir, sinks.new_run(out_dir)
     prepared = prepare(spark, path, allow_synthetic=allow_synthetic, exact=exact, **prepare_options)
     features = prepared.features
     table_path = sinks.write_table(prepared.frame, f"{out_dir}/prepared")
@@ -33,9 +37,10 @@ def train(spark: SparkSession, path: str | None, out_dir: str, *, allow_syntheti
     fit_rows, fold_strategy, folds = S.with_folds(split.where("not is_test").drop("is_test"), strategy, row_key(df))
     fit_rows = materialise(fit_rows)
     families = families or L.registry(exact=exact)
+    values = L.fold_medians(fit_rows, features, folds, exact)  # of all families
     rows, holdouts, fitted = [], {}, {}
     for name, fit in families.items():
-        own = L.cross_validate(fit_rows, features, fit, folds, name).first().asDict()
+        own = L.cross_validate(fit_rows, features, fit, folds, name, values=values).first().asDict()
         fitted[name] = fit(fit_rows, features)
         holdouts[name] = materialise(L.predict(fitted[name], held))  # scored once for all metrics
         frame = M.prediction_frame(holdouts[name], features)
@@ -63,4 +68,5 @@ def train(spark: SparkSession, path: str | None, out_dir: str, *, allow_syntheti
         "feature_defaults": feature_defaults(df, features, exact),
     }
     paths["metadata"] = sinks.write_document(spark, document, f"{out_dir}/metadata")
+    sinks.publish(spark, top, out_dir, paths)
     return {"best_model_name": best, "flagged_case_count": flagged.count(), "dataset_source_kind": prepared.source_kind, "saved_model_fit_scope": "full_prepared_dataset", "paths": paths, "metadata": document}

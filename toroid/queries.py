@@ -33,7 +33,7 @@ ORACLE_SQL: dict[str, str] = {}
 ORACLE_BODY: dict[str, str] = {}
 KEY = ("shot_id", *X.TIES)
 #: Tree sizes in queries; full sizes are the defaults of the families.
-SMALL = {"trees": 20, "tree_depth": 8, "rounds": 20, "boost_depth": 5, "bins": 255}
+SMALL = {"trees": 20, "tree_depth": 8, "rounds": 80, "boost_depth": 5, "bins": 255}
 #: By session and folder: the stamp of the table read, the prepared split, features, and models fitted so far, so that model
 #: queries do not derive, split and fit the same again. Other data mean another stamp, and all is made anew.
 _SPLITS: dict[tuple[str, str], tuple[tuple, DataFrame, list[str], dict[str, PipelineModel]]] = {}
