@@ -46,7 +46,7 @@ EDGE_ROWS = 200_000
 #: Bytes of partial histograms that the driver adds up itself; above that, tasks add them first.
 DIRECT = 64 << 20
 #: Bytes of chunks that a task of a pass has at least, where there are so many.
-TASK_BYTES = 8 << 20
+TASK_BYTES = 2 << 20
 #: Rounds between tables that cut the lineage.
 CUT = 25
 
@@ -340,8 +340,10 @@ def _histograms(chunks: DataFrame, models: list[Model], growing: dict[int, Growt
             if loss and view.early:
                 error = (chunk.score[k] - chunk.label)[held]
                 out[-1 - k] = np.array([error @ error, len(error)])
-            codes = _filled(chunk.codes, view.fill)[:, own]
-            gradient, at = (chunk.score[k] - chunk.label)[own], np.zeros(own.sum(), np.int64)
+            codes, gradient = _filled(chunk.codes, view.fill), chunk.score[k] - chunk.label
+            if not own.all():
+                codes, gradient = codes[:, own], gradient[own]
+            at = np.zeros(len(gradient), np.int64)
             if len(trees[k].feature) > 1:
                 lookup = np.full(len(trees[k].feature), -1)
                 lookup[list(slots[k])] = list(slots[k].values())
