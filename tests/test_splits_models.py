@@ -33,6 +33,50 @@ def test_folds_are_disjoint_and_stable(spark, shots, parts):
     assert all(len(f) == 1 for f in by_shot.values())
 
 
+def greedy(sizes, folds):
+    """The fold of each group in order, by one step for each group."""
+    load, out = [0] * folds, []
+    for size, groups in sizes:
+        for _ in range(groups):
+            f = min(range(folds), key=lambda f: (load[f], f))
+            load[f] += size
+            out.append(f)
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), min_size=1, max_size=8), st.integers(2, 6))
+def test_turns_are_those_of_the_greedy_rule(counts, folds):
+    sizes = sorted(counts.items(), reverse=True)
+    turns, got = S.greedy_turns(sizes, folds), []
+    for size, groups in sizes:
+        own = [(first, turn) for s, first, turn in turns if s == size]
+        assert len(own) <= folds + 1
+        for rank in range(groups):
+            first, turn = [o for o in own if o[0] <= rank][-1]
+            got.append(turn[(rank - first) % len(turn)])
+    assert got == greedy(sizes, folds)
+
+
+def test_turns_of_a_billion_groups_are_few():
+    turns = S.greedy_turns([(10**7, 1), (3, 10**9), (1, 10**9)], 5)
+    assert len(turns) <= 12
+
+
+def test_skewed_shots_go_to_the_lightest_fold(spark):
+    sizes = [200, 90, 90, 41, *[7] * 30, *[2] * 50, *[1] * 75]
+    df = spark.createDataFrame([(s,) for s, n in enumerate(sizes) for _ in range(n)] + [(None,)] * 3, "shot_id int")
+    got = S.shot_folds(df, folds=5).groupBy("shot_id", "fold").count().collect()
+    loads = {f: sum(r["count"] for r in got if r.fold == f) for f in range(5)}
+    want = greedy([(n, sizes.count(n)) for n in sorted(set(sizes), reverse=True)], 5)
+    by_size = sorted(sizes, reverse=True)
+    assert loads == {f: sum(n for n, g in zip(by_size, want) if g == f) for f in range(5)}
+    h = {r.id: r.h for r in spark.range(len(sizes)).select("id", S.hash48(F.col("id").cast("int")).alias("h")).collect()}
+    order = sorted(range(len(sizes)), key=lambda s: (-sizes[s], h[s]))
+    assert {r.shot_id: r.fold for r in got if r.shot_id is not None} == dict(zip(order, want))
+    assert [r.fold for r in got if r.shot_id is None] == [None]
+
+
 def test_rank_is_the_global_rank(spark):
     df = spark.range(500)
     got = {r.id: r.rank for r in S.with_rank(df, F.col("id"), "rank", size=F.col("id") % 3).collect()}
