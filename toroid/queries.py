@@ -363,7 +363,21 @@ def folds_random(spark, sf_dir):
     return S.random_folds(X.samples(spark, sf_dir).withColumn("row_key", row_key()), F.col("row_key")).select("row_key", "fold")
 
 
-_GROUP_FOLDS = f"SELECT shot_id, n, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INTEGER) AS fold FROM (SELECT shot_id, n, row_number() OVER (ORDER BY n DESC, {HASH_SHOT}) - 1 AS r FROM (SELECT shot_id, count(*) AS n FROM samples GROUP BY shot_id))"
+# The groups of one size, in order, take the least of all (load after j more groups, fold); loads and folds so far go from size to size.
+_PICKED = "list_sort(flatten(list_transform(range(0, 5), lambda f: list_transform(range(0, x.c), lambda j: {'v': a.loads[f + 1] + j * x.s, 'f': f}))))[1:x.c]"
+_SIZE_STEP = f"list_transform([{_PICKED}], lambda q: {{'s': x.s, 'c': x.c, 'loads': list_transform(range(0, 5), lambda f: CAST(a.loads[f + 1] + x.s * len(list_filter(q, lambda z: z.f = f)) AS BIGINT)), 'out': list_concat(a.out, list_transform(q, lambda z: CAST(z.f AS BIGINT)))}})[1]"
+
+
+def _group_folds(rows: str) -> str:
+    """SQL for (shot_id, n, fold): the shots of a table, from large to small, each in the lightest of five folds."""
+    shots = f"(SELECT shot_id, count(*) AS n FROM {rows} GROUP BY shot_id)"
+    first = "{{'s': CAST({s} AS BIGINT), 'c': CAST({c} AS BIGINT), 'loads': CAST([0, 0, 0, 0, 0] AS BIGINT[]), 'out': CAST([] AS BIGINT[])}}"
+    sizes = f"SELECT list({first.format(s='n', c='c')} ORDER BY n DESC) AS l FROM (SELECT n, count(*) AS c FROM {shots} GROUP BY n)"
+    turns = f"SELECT list_reduce(list_concat([{first.format(s=0, c=0)}], l), lambda a, x: {_SIZE_STEP}).out AS turns FROM ({sizes})"
+    return f"SELECT shot_id, n, CAST(turns[r] AS INTEGER) AS fold FROM (SELECT shot_id, n, row_number() OVER (ORDER BY n DESC, {HASH_SHOT}) AS r FROM {shots}) CROSS JOIN ({turns})"
+
+
+_GROUP_FOLDS = _group_folds("samples")
 
 
 @query(f"SELECT shot_id, fold, n AS row_count FROM ({_GROUP_FOLDS})")
@@ -470,7 +484,7 @@ def _candidate_metrics(spark, sf_dir) -> DataFrame:
 
 
 _CANDIDATE_SQL = f"""c AS (SELECT DISTINCT shot_id, neutron_yield, model, p FROM (SELECT shot_id, neutron_yield, surrogate_yield AS p, 'surrogate' AS model FROM samples UNION ALL SELECT shot_id, neutron_yield, crude_yield, 'crude' FROM samples UNION ALL SELECT shot_id, neutron_yield, surrogate_yield * 2e0, 'doubled' FROM samples)),
-  f AS (SELECT shot_id, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INTEGER) AS fold FROM (SELECT shot_id, row_number() OVER (ORDER BY n DESC, {HASH_SHOT}) - 1 AS r FROM (SELECT shot_id, count(*) AS n FROM c GROUP BY shot_id))),
+  f AS ({_group_folds("c")}),
   e AS (SELECT model, fold, sqrt(avg(pow(neutron_yield - p, 2))) AS rmse, avg(abs(neutron_yield - p)) AS mae FROM c JOIN f USING (shot_id) GROUP BY model, fold),
   t AS (SELECT model, avg(rmse) AS a, stddev_pop(rmse) AS b, avg(mae) AS c, stddev_pop(mae) AS d FROM e GROUP BY model)"""
 
