@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from toroid.llm.components import components
-from toroid.llm.decontaminate import MASKS, MIDDLE_MASKS, SHORT_MASKS, best_overlap, find_overlaps, token_hashes
+from toroid.llm.decontaminate import MASKS, MIDDLE_MASKS, SHORT_MASKS, best_overlap, candidate_pairs, dealt_seeds, find_overlaps, token_hashes
 from toroid.llm.simhash import _chain, fingerprint, links, near_duplicates
 
 
@@ -171,6 +171,47 @@ def test_passage_deep_in_a_long_text(spark):
     assert [(r.doc_id, r.item_id, r.matched, r.start) for r in got] == [(1, 7, 40, 50000)]
 
 
+def test_every_window_of_a_repeated_seed_counts(spark):
+    rng = random.Random(6)
+    phrase, between, tail = words(rng, 11), words(rng, 12), words(rng, 6)
+    item = phrase + between + phrase + tail
+    # eleven tokens match at both places of the phrase; only at the second one does the next but one match too
+    text = words(rng, 20) + phrase + ["changed", tail[1]] + words(rng, 20)
+    df = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(words(rng, 20) + phrase + words(rng, 20)))], "doc_id long, text string")
+    got = find_overlaps(df, spark.createDataFrame([(7, " ".join(item))], "item_id int, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.matched, r.compared, r.start) for r in got] == [(1, 7, 12, 13, 20)]
+
+
+def test_hot_seeds_are_dealt_into_cells(spark):
+    hits = spark.range(12000).select(F.col("id").alias("region"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 700 + 2).alias("seed"), (F.col("id") % 5).cast("int").alias("doc_at"))
+    known = spark.range(10000).select(F.col("id").alias("item"), F.when(F.col("id") < 900, 1).when(F.col("id") < 5000, 3).otherwise(F.col("id")).alias("seed"), (F.col("id") % 3).cast("int").alias("item_at"))
+    one, other = dealt_seeds(hits, known)
+    for side in (one, other):  # 4,000 hits and 900 windows of a seed, 4,100 windows of another
+        assert side.groupBy("seed", "_rows", "_columns").count().agg(F.max("count")).first()[0] <= 300
+    want = hits.where("region < 600").join(known, "seed").select("region", "item", (F.col("doc_at") - F.col("item_at")).alias("d"))
+    got = candidate_pairs(hits, known).where("region < 600").select("region", "item", F.explode("diagonals").alias("d"))
+    assert want.count() == got.count() and want.exceptAll(got).count() == 0
+
+
+def test_one_seed_of_many_items_and_documents(spark):
+    rng = random.Random(8)
+    start = words(rng, 8)
+    items = [start + words(rng, 20) for _ in range(1500)]
+    docs = [(i, " ".join(start + (items[i][8:] if i % 50 == 0 else words(rng, 20)))) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = find_overlaps(df, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id int, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(0, 600, 50)]
+
+
+def test_items_without_id_and_with_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b = words(rng, 20), words(rng, 30)
+    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, "none of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, " ".join(a)), (5, " ".join(b)), (5, " ".join(b[:15])), (5, None)], "item_id int, text string")
+    assert {(r.doc_id, r.item_id, r.matched) for r in find_overlaps(df, bench).collect()} == {(1, None, 20), (2, 5, 30)}
+    assert find_overlaps(df, bench.select(F.col("item_id").cast("string"), F.lit(None).cast("string").alias("text"))).collect() == []
+
+
 def test_best_overlap_is_any_stretch_of_the_share():
     item = np.arange(103)
     doc = item.copy()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toroid.llm.common import materialise
+from toroid.llm.common import HOT_LEAST, HOT_SHARE, join_on_hot_key, materialise
 
 #: Positions of a window that a mask selects (1) or ignores (0). Over all places of the changes, one of them lies on matches
 #: in 95.7 % of stretches with 12 of 16 tokens matching, and more often in those with a larger share.
@@ -116,18 +116,14 @@ def _needed(n: int, least: int, share: float) -> float:
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each benchmark item with its tokens and seeds (the first window of each seed; all windows of a short item)."""
+    """Each benchmark item with its tokens and the seeds of all its windows."""
     for batch in batches:
         texts, tokens, found = batch.column(1).to_pylist(), [], []
         for t in texts:
             h, owner = token_hashes([t or ""])
-            own: dict[tuple[int, int], int] = {}
-            for mask in _masks(len(h)):
-                s, at = seeds(h, owner, mask)
-                for seed, where in zip(s.view(np.int64).tolist(), at.tolist()):
-                    own.setdefault((seed, where if len(h) < LONG else 0), where)
+            own = [x for mask in _masks(len(h)) for s, at in [seeds(h, owner, mask)] for x in zip(s.view(np.int64).tolist(), at.tolist())]
             tokens.append(h.view(np.int64).tolist())
-            found.append([{"seed": k, "at": v} for (k, _), v in own.items()])
+            found.append([{"seed": k, "at": v} for k, v in own])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())])))], ["item_id", "tokens", "seeds"])
 
 
@@ -201,34 +197,68 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, share: float
 
 
 def _verify(least: int, share: float):
+    """The best overlap of each pair of a region and an item, over all diagonals that they hit on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             docs, items, turns = (batch.column(i) for i in (2, 3, 4))
             for i in range(batch.num_rows):
-                item = np.array(items[i].values)
-                m, n, at = best_overlap(np.array(docs[i].values), item, turns[i].as_py(), share)
-                good = m > 0 and m >= share * n and m >= _needed(len(item), least, share)
-                found.append((m, n, at) if good else (None, None, None))
+                doc, item, best = np.array(docs[i].values), np.array(items[i].values), None
+                for diagonal in turns[i].as_py():
+                    m, n, at = best_overlap(doc, item, diagonal, share)
+                    if m > 0 and m >= share * n and m >= _needed(len(item), least, share):
+                        best = max(best or (m, -n, -at), (m, -n, -at))
+                found.append((best[0], -best[1], -best[2]) if best else (None, None, None))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5), *(pa.array([f[k] for f in found], pa.int32()) for k in range(3))], ["id", "item_id", "start", "matched", "compared", "at"])
 
     return run
 
 
+def dealt_seeds(hits: DataFrame, known: DataFrame, share: float = HOT_SHARE, least: int = HOT_LEAST) -> tuple[DataFrame, DataFrame]:
+    """hits (region, seed, doc_at) and known (item, seed, item_at) with the cell _rows, _columns that each is joined in.
+
+    A seed above `share` of all hits, or of all windows of the benchmark, is dealt into cells before the exchange: its hits
+    into rows and its windows into columns, none much above the share (or `least`). Such seeds number 2 / share at most.
+    """
+    most_hits, most_known = (max(least, int(n * share)) for n in (hits.count(), known.count()))
+
+    def parts(rows: DataFrame, most: int, name: str) -> DataFrame:
+        return rows.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > most).select("seed", F.ceil(F.col("n") / most).alias(name))
+
+    hot = materialise(parts(hits, most_hits, "rows").join(parts(known, most_known, "columns"), "seed", "full"))
+
+    def dealt(side: DataFrame, own: str, other: str, key: list[str]) -> DataFrame:
+        marked = side.join(F.broadcast(hot), "seed", "left")
+        mine = F.when(F.col(own).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*key), F.col(own))).cast("int")
+        others = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)).cast("int") - 1))
+        return marked.select(*side.columns, mine.alias(f"_{own}"), others.alias(f"_{other}"))
+
+    return dealt(hits, "rows", "columns", ["region", "doc_at"]), dealt(known, "columns", "rows", ["item", "item_at"])
+
+
+def candidate_pairs(hits: DataFrame, known: DataFrame, share: float = HOT_SHARE, least: int = HOT_LEAST) -> DataFrame:
+    """(region, item, diagonals) for each region and item that meet in a seed."""
+    one, other = dealt_seeds(hits, known, share, least)
+    met = one.join(other, ["seed", "_rows", "_columns"])
+    return met.groupBy("region", "item").agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("diagonals"))
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST_MATCH, share: float = SHARE) -> DataFrame:
     """One row for each document and benchmark item that overlap: id, item_id, matched, compared, start (token number).
 
     An overlap is a stretch of at least `least` matching tokens (or `share` of an item too short for that) in which
     `share` of the tokens match. Items of under LEAST_SPACED tokens overlap where all their tokens stand in a row. Null and empty texts overlap
     nothing; an empty table on either side gives an empty result; rows that repeat an id count as one document, null ids
-    too. Of several overlaps of a pair the one with most matches is given, of those the shortest, of those the first.
+    too, and so do items. Every window of an item counts, also where its seed repeats. Of several overlaps of a pair the one with most matches is given, of those the shortest, of those the first.
     Columns other than those named are not read.
     """
     spark = docs.sparkSession
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     pair = "array<struct<seed:bigint,at:int>>"
-    items = materialise(benchmark.select(item_col, F.col(item_text).cast("string")).mapInArrow(_items, f"item_id {item_type}, tokens array<bigint>, seeds {pair}"))
-    known = items.select("item_id", F.explode("seeds").alias("s")).select("item_id", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"))
+    items = benchmark.select(item_col, F.col(item_text).cast("string")).mapInArrow(_items, f"item_id {item_type}, tokens array<bigint>, seeds {pair}")
+    items = materialise(items.withColumn("item", F.monotonically_increasing_id()))
+    known = items.select("item", F.explode("seeds").alias("s")).select("item", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"))
     bits = min(MOST_BITS, max(LEAST_BITS, (known.count() * BITS_A_SEED).bit_length()))
     places = known.select(F.explode(F.array(F.shiftrightunsigned("seed", 64 - bits), F.col("seed").bitwiseAND(F.lit((1 << bits) - 1)))).alias("at"))
     screen = np.zeros(1 << bits - 15, "V4096")
@@ -240,8 +270,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     regions = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(_regions(held, bits, masks), f"id {id_type}, start int, tokens array<bigint>, hits {pair}")
     regions = materialise(regions.withColumn("region", F.monotonically_increasing_id()))
     hits = regions.select("region", F.explode("hits").alias("h")).select("region", F.col("h.seed").alias("seed"), F.col("h.at").alias("doc_at"))
-    diagonals = hits.join(known, "seed").select("region", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
-    both = diagonals.join(regions.select("region", "id", "start", F.col("tokens").alias("doc")), "region").join(items.select("item_id", F.col("tokens").alias("item")), "item_id")
-    checked = both.select("id", "item_id", "doc", "item", "diagonal", "start").mapInArrow(_verify(least, share), f"id {id_type}, item_id {item_type}, start int, matched int, compared int, at int")
+    pairs = materialise(candidate_pairs(hits, known))
+    total = pairs.count()
+    by_region, by_item = (pairs.groupBy(c).agg(F.count("*").alias("_n")) for c in ("region", "item"))
+    docs_side = regions.join(by_region, "region").select("region", "id", "start", F.col("tokens").alias("doc"), "_n")
+    items_side = items.join(by_item, "item").select("item", "item_id", "tokens", "_n")
+    both = join_on_hot_key(pairs, materialise(docs_side), ["region"], "_n", total).drop("_n")
+    both = join_on_hot_key(both, materialise(items_side), ["item"], "_n", total)
+    checked = both.select("id", "item_id", "doc", "tokens", "diagonals", "start").mapInArrow(_verify(least, share), f"id {id_type}, item_id {item_type}, start int, matched int, compared int, at int")
     best = checked.where("matched is not null").groupBy("id", "item_id").agg(F.max(F.struct("matched", -F.col("compared"), -(F.col("start") + F.col("at")))).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), F.col("b.matched").alias("matched"), (-F.col("b.col2")).alias("compared"), (-F.col("b.col3")).alias("start"))
