@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from toroid import config as C
 from toroid.functions.numbers import to_number
 from toroid.operators.quantiles import quantile
+from toroid.operators.repeats import repeat_counts
 
 
 def _count_nulls(df: DataFrame) -> list[Column]:
@@ -22,8 +23,7 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def duplicates(df: DataFrame) -> DataFrame:
     """One row: how many rows equal an earlier row, and in how many groups."""
-    groups = df.groupBy(*df.columns).count()
-    return groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicates"), F.count_if(F.col("count") > 1).alias("duplicate_groups"))
+    return repeat_counts(df)
 
 
 def profile(df: DataFrame) -> DataFrame:

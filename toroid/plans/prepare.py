@@ -9,6 +9,7 @@ from toroid.operators import validate as V
 from toroid.operators.audit import audit
 from toroid.operators.features import engineer
 from toroid.operators.normalise import canonical, feature_columns
+from toroid.operators.repeats import without_repeats
 from toroid.operators.shots import aggregate_shots
 from toroid.sources.samples import read_raw, read_samples, resolve_source, synthetic_shots
 from toroid.sources.shared import materialise
@@ -16,16 +17,17 @@ from toroid.sources.shared import materialise
 
 def clean(df: DataFrame) -> DataFrame:
     """Without rows that equal another in all columns."""
-    return df.dropDuplicates()
+    return without_repeats(df)
 
 
 def prepare_frame(df: DataFrame, ties: tuple[str, ...] = (), row_key: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """The prepared form of a raw table and the column mapping; raises if a row breaks a rule.
 
-    The cleaned table is stored once, since both the validation and everything later read it.
+    Shots are stored before they are cleaned, which reads them twice, and the cleaned table too, since both the validation and
+    everything later read it.
     """
     rows, mapping = canonical(df)
-    stored = materialise(clean(aggregate_shots(rows, ties)))
+    stored = materialise(clean(materialise(aggregate_shots(rows, ties))))
     key = row_key or [C.SHOT] if C.SHOT in stored.columns else row_key or list(C.REQUIRED_INPUTS)
     V.require_valid(stored, [k for k in key if k in stored.columns])
     return engineer(stored), mapping
