@@ -30,7 +30,7 @@ class Rule:
 
 
 RULES = (
-    Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "block"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block"),
+    Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block"),
 )
 #: Different labelled urls that the trees are fitted to, at most (half of each label; the first ones by hash), and folds of urls.
 TRAIN_ROWS = 50_000
