@@ -39,3 +39,15 @@ def test_trees_beat_the_baseline(spark):
 def test_entry(spark):
     df = entry_point.entry(spark)
     assert df.count() > 0 and set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+@pytest.mark.parametrize("name", ["numeric_coercion", "tau_ipb98", "score_features", "viol_missing", "temp_conversions", "features_core"])
+@pytest.mark.parametrize("column, shift, kind", [("l_partkey", 10**12, "BIGINT"), ("l_linenumber", 10**6, "INTEGER")])
+def test_query_equals_sql_where_keys_are_large(spark, tmp_path, name, column, shift, kind):
+    at = str(tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * REPLACE (CAST({column} + {shift} AS {kind}) AS {column}) FROM '{SF}/lineitem.parquet') TO '{at}'")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{at}'")
+    df, other = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLE_SQL[name])
+    places = [other.columns.index(c) for c in df.columns]
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted((tuple(r[i] for i in places) for r in other.fetchall()), key=repr)
