@@ -223,6 +223,20 @@ def test_lookup_finds_what_words_lists():
     assert toxicity.features([[0, 2, 2, 2], []], 3).tolist() == [[1, 0, 2], [0, 0, 0]]
 
 
+def test_counts_come_from_the_merges_and_equal_the_library():
+    rng = random.Random(5)
+    own = PrefixCounter(_default_path())
+    texts = ["".join(rng.choice(["the", " a", "Zähl", " ", "\n", "  ", "12", "'s", "é", "日本", "!?", "zz", "qx", "<|endoftext|>", "\u0301", "😀"]) for _ in range(60)) for _ in range(300)]
+    texts += ["a" * 3000, " " * 3000, "=-" * 700, "".join(rng.choice("abcXYZ") for _ in range(5000)), ""]
+    want = [len(e) for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    class Refusing:
+        pre_tokenizer = own.tokenizer.pre_tokenizer
+
+    own.tokenizer = Refusing()  # has no way to encode
+    assert [c[-1] if c else 0 for _, c in own.count(texts)] == want
+
+
 def test_urls(spark):
     cases = {
         "https://A.Example.COM/en/7?x#y": ("a.example.com", "/en/7", "example.com/en/7"), "http://com/en/": ("com", "/en/", "com/en/"), "http://xcom/en/": ("xcom", "/en/", None), "no scheme": ("", "", None), None: ("", "", None),

@@ -3,10 +3,11 @@
 The vocabulary splits a text into pieces (words with the space before them, runs of digits, of signs, of white space)
 and never merges across pieces. So the count of a text is a running sum over its pieces, and that sum is stored at
 each piece's end: step i adds a piece to the prefix, and its count to the count of the prefix before. Counts of distinct
-pieces are remembered, so a text is never encoded as a whole.
+pieces are remembered, and the library encodes none of them.
 
 Inside a piece the same is done over bytes (Merges.prefixes): of all tokens that end at byte i, one continues the encoding
-of the prefix before it, and its count is that prefix's plus one. So every prefix of a text has its exact count, and
+of the prefix before it, and its count is that prefix's plus one. New pieces are taken in sorted order, so that a piece
+starts from the prefix that it shares with the one before (Merges.totals). So every prefix of a text has its exact count, and
 questions about truncation and budgets never call the encoder again. every_prefix() stores the counts at all characters.
 """
 
@@ -15,8 +16,9 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: pieces are not remembered, and ENTRY is what a piece takes besides its characters.
 CACHE_BYTES, LONG, ENTRY = 64_000_000, 256, 130
 #: Pairs of tokens whose fit is remembered.
-PAIRS = 1_000_000
+PAIRS = 300_000
 #: Tokens of a document above which over_limit is set.
 LIMIT = 1024
 
@@ -70,7 +72,10 @@ class Merges:
                 raise ValueError("two merges make the same token")
             self.number[a + b] = self.pairs[pair] = len(self.halves)
             self.halves.append(pair)
-        self.longest = max(map(len, self.number))
+        #: Length of the longest token that ends in these two bytes (or is this one).
+        self.reach: dict[bytes, int] = {}
+        for token in self.number:
+            self.reach[token[-2:]] = max(len(token), self.reach.get(token[-2:], 1))
         self.fit: dict[tuple[int, int], bool] = {}
 
     def fits(self, a: int, b: int) -> bool:
@@ -95,18 +100,42 @@ class Merges:
             else:
                 before, b = b + 1, halves[b][0]
 
+    def _extend(self, piece: bytes, counts: list[int], last: list[int]) -> None:
+        """Go on with counts and last tokens of the first prefixes of piece, up to the whole of it."""
+        token_of, known, reach = self.number.get, self.fit.get, self.reach.get
+        for end in range(len(counts), len(piece) + 1):
+            for start in range(max(0, end - reach(piece[max(0, end - 2) : end], 1)), end):
+                token = token_of(piece[start:end])
+                if token is None:
+                    continue
+                if start:
+                    good = known((last[start], token))
+                    if not (self.fits(last[start], token) if good is None else good):
+                        continue
+                counts.append(counts[start] + 1)
+                last.append(token)
+                break
+
     def prefixes(self, piece: bytes) -> list[int]:
         """Tokens of piece[:n] for n from 0 to its length."""
-        number, fits, counts, last = self.number, self.fits, [0], [-1]
-        for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = number.get(piece[start:end])
-                if token is not None and (not start or fits(last[start], token)):
-                    counts.append(counts[start] + 1)
-                    last.append(token)
-                    break
+        counts, last = [0], [-1]
+        self._extend(piece, counts, last)
         return counts
 
+    def totals(self, pieces: Iterable[str]) -> dict[str, int]:
+        """Tokens of each of the pieces. In sorted order each keeps what it shares with the one before."""
+        found, before, counts, last = {}, b"", [0], [-1]
+        for text in sorted(pieces):
+            piece, same = text.encode("utf-8", "surrogatepass"), 0
+            for x, y in zip(piece, before):
+                if x != y:
+                    break
+                same += 1
+            del counts[same + 1 :], last[same + 1 :]
+            self._extend(piece, counts, last)
+            found[text], before = counts[-1], piece
+        return found
+
 
 def _check(layout: dict) -> None:
     """Refuse tokenizers that do more than split by the pattern above and merge bytes."""
@@ -114,7 +143,7 @@ def _check(layout: dict) -> None:
     plain = (
         model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "fuse_unk", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
         and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not layout.get("normalizer")
-        and not any(t.get(k) for t in layout["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
+        and not any(t.get(k) for t in layout["added_tokens"] for k in ("single_word", "lstrip", "rstrip")) and _byte_values().keys() <= model["vocab"].keys()
     )
     if not plain:
         raise ValueError("not a byte-level BPE with the known splitting pattern and no normaliser")
@@ -139,7 +168,7 @@ class PrefixCounter:
 
     @property
     def merges(self) -> Merges:
-        """Read when a cut inside a piece first asks for them."""
+        """Read when a piece first asks for them."""
         if self._merges is None:
             self._merges = Merges([tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in self._rules])
         return self._merges
@@ -162,14 +191,14 @@ class PrefixCounter:
             yield text[at:], False
 
     def learn(self, pieces: set[str]) -> dict[str, int]:
-        """Token counts of pieces; new ones are counted together."""
+        """Token counts of pieces; new ones are counted together, by the merges."""
         new = [p for p in pieces if p not in self.known]
         size = sum(len(p) + ENTRY for p in new if len(p) <= LONG)
         if self.held + size > CACHE_BYTES:
             self.known, self.held = {}, 0
             new = list(pieces)
             size = sum(len(p) + ENTRY for p in new if len(p) <= LONG)
-        counts = {p: len(e) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+        counts = self.merges.totals(new)
         self.known |= {p: n for p, n in counts.items() if len(p) <= LONG}
         self.held += size
         return {p: n for p, n in counts.items() if len(p) > LONG}
@@ -180,14 +209,11 @@ class PrefixCounter:
         long = self.learn({p for parts in split for pieces, special in parts if not special for p in pieces})
         known = self.known
         for parts in split:
-            ends, counts, end, count = [], [], 0, 0
+            lengths, counts = [], []
             for pieces, special in parts:
-                for p in pieces:
-                    end += len(p)
-                    count += 1 if special else known[p] if len(p) <= LONG else long[p]
-                    ends.append(end)
-                    counts.append(count)
-            yield ends, counts
+                lengths += map(len, pieces)
+                counts += [1] if special else map(known.__getitem__, pieces) if not long else [known[p] if p in known else long[p] for p in pieces]
+            yield list(accumulate(lengths)), list(accumulate(counts))
 
     def inside(self, prefix: str) -> int:
         """Tokens of the prefix of a piece, by the merges.
