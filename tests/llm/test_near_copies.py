@@ -1,10 +1,13 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from toroid.llm.near_copies import connect, drop_near_copies, jaccard, minima, near_links, shingle_set
+from toroid.llm import near_copies
+from toroid.llm.near_copies import connect, drop_near_copies, jaccard, minima, near_links, printed_pairs, shingle_set
+from toroid.llm.simhash import fingerprint
 
 
 def shingles(text):
@@ -105,3 +108,18 @@ def test_rows_of_a_repeated_or_null_id_are_decided_apart(spark, tmp_path):
     clean = corpus_pipeline.no_benchmark(spark, docs, str(tmp_path))
     assert clean.columns == ["doc_id", "text"]
     assert sorted(r.text for r in clean.collect()) == sorted(t for _, t in rows if not t.startswith("b0"))
+
+
+def test_simhash_links_are_proposed_and_confirmed(spark, monkeypatch):
+    texts = families(3)[:42]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = df.select(F.md5("text").alias("node"), "text", "doc_id")
+    at = {r.node: r.doc_id for r in nodes.collect()}
+    prints = [fingerprint(t.encode()) for t in texts]
+    got = [(at[r.u], at[r.v]) for r in printed_pairs(nodes.select("node", "text")).collect()]
+    near = {i for i, x in enumerate(prints) for j, y in enumerate(prints) if i != j and (x ^ y).bit_count() <= 3}
+    assert near and near == {x for pair in got for x in pair}
+    # without any band the stage still drops what SimHash links and whole sets confirm
+    monkeypatch.setattr(near_copies, "_sketches", lambda shingle: lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array([[]] * b.num_rows, pa.list_(pa.int64()))], ["node", "keys"]) for b in batches))
+    left = drop_near_copies(df).count()
+    assert len(set(groups(texts))) <= left < len(texts)

@@ -1,4 +1,7 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose pairs, whole shingle sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash links and MinHash bands propose pairs, whole shingle sets decide.
+
+The first pairs are the links of simhash.links: fingerprints of three bits' distance, found by pigeonring filtering, and texts
+of one fingerprint. They are confirmed on whole sets like all others, and what they connect is not compared again.
 
 Texts of similarity 0.8 differ in about ten of the 64 bits of a SimHash, too many for segments that still tell texts
 apart. Bands of ROWS minima propose a pair of similarity s with chance 1 - (1 - s**ROWS)**BANDS, which is above 0.9999
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 from toroid.llm.common import broadcast_few, join_on_hot_key, materialise, rows_without
 from toroid.llm.components import components
+from toroid.llm.simhash import fingerprints, links
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -159,10 +163,22 @@ def _connect_cells(similarity: float):
     return run
 
 
+def printed_pairs(texts: DataFrame) -> DataFrame:
+    """(u, v): texts (node, text) that SimHash links. Each with the first of its fingerprint, and the first ones of linked fingerprints."""
+    prints = materialise(fingerprints(texts, "node"))
+    first = materialise(prints.groupBy("fp").agg(F.min("id").alias("u"), F.max("id").alias("last"), F.count("*").alias("n")))
+    linked = links(first.select("fp")).join(first.select(F.col("fp").alias("u"), F.col("u").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("u").alias("b")), "v")
+    shared = materialise(first.where("u <> last").select("fp", "u", "n"))
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    same = join_on_hot_key(prints, shared, ["fp"], "n", total).select("u", F.col("id").alias("v"))
+    return materialise(linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same.where("u <> v")).distinct())
+
+
 def near_links(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(u, v): pairs of texts, named by their MD5, of at least the similarity; what such pairs connect, they connect."""
     texts = docs.select(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("node"), F.col(text_col).cast("string").alias("text"))
     sketches = materialise(texts.mapInArrow(_sketches(shingle), "node string, keys array<bigint>"))
+    printed = printed_pairs(texts)
     keyed = sketches.select(F.explode("keys").alias("key"), "node")
     shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last"))
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -172,8 +188,9 @@ def near_links(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE,
     blocked = members.withColumn("at", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block)))
     centres = blocked.groupBy("key", "at").agg(F.min("node").alias("u"), F.first("first").alias("first"))
     pairs = blocked.select("key", "at", "node").join(centres, ["key", "at"]).select("u", F.col("node").alias("v")).unionByName(centres.select("first", "u").toDF("u", "v"))
-    pairs = materialise(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    known = broadcast_few(materialise(members.select("node").distinct()))
+    pairs = materialise(pairs.unionByName(printed).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    nodes = members.select("node").unionByName(printed.select(F.explode(F.array("u", "v")).alias("node")))
+    known = broadcast_few(materialise(nodes.distinct()))
     sets = materialise(texts.join(known, "node", "left_semi").mapInArrow(_sets(shingle), "node string, shingles array<bigint>").dropDuplicates(["node"]))
     both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     good = materialise(both.select("u", "v", "a", "b").mapInArrow(_check(similarity), "u string, v string"))
