@@ -233,3 +233,10 @@ def test_hash_ranges_follow_the_rows(spark):
     df = spark.range(500).select("id", F.col("id").cast("string").alias("key"))
     ranks = [{r.id: r.n for r in S.with_rank(df, F.col("key"), "n", ranges=k).collect()} for k in (1, 256, 9973)]
     assert ranks[0] == ranks[1] == ranks[2] and sorted(ranks[0].values()) == list(range(500))
+
+
+def test_folds_of_summed_shots_are_those_of_their_rows(spark):
+    rows = spark.createDataFrame([(i, j) for i in range(40) for j in range(1 + i * 7 % 11)], "shot_id long, at long")
+    want = {(r.shot_id, r.fold) for r in S.shot_folds(rows, folds=5).collect()}
+    summed = rows.groupBy("shot_id").agg(F.count("*").alias("n"))
+    assert {(r.shot_id, r.fold) for r in S.shot_folds(summed, folds=5, rows=F.col("n")).collect()} == want
