@@ -51,3 +51,13 @@ def test_query_equals_sql_where_keys_are_large(spark, tmp_path, name, column, sh
     df, other = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLE_SQL[name])
     places = [other.columns.index(c) for c in df.columns]
     assert sorted(map(tuple, df.collect()), key=repr) == sorted((tuple(r[i] for i in places) for r in other.fetchall()), key=repr)
+
+
+def test_families_share_their_medians(spark, monkeypatch):
+    from toroid import queries as Q
+
+    calls, own = [], Q.L.quantiles
+    monkeypatch.setattr(Q.L, "quantiles", lambda *a, **k: calls.append(1) or own(*a, **k))
+    monkeypatch.setattr(Q, "_SPLITS", {})
+    assert QUERIES["holdout_comparison"](spark, SF).count() == 3 and len(calls) == 1
+    assert QUERIES["rf_predict"](spark, SF).count() > 0 and QUERIES["feature_importance"](spark, SF).count() and len(calls) == 1

@@ -240,3 +240,13 @@ def test_folds_of_summed_shots_are_those_of_their_rows(spark):
     want = {(r.shot_id, r.fold) for r in S.shot_folds(rows, folds=5).collect()}
     summed = rows.groupBy("shot_id").agg(F.count("*").alias("n"))
     assert {(r.shot_id, r.fold) for r in S.shot_folds(summed, folds=5, rows=F.col("n")).collect()} == want
+
+
+def test_held_out_shots_are_told_by_a_threshold(spark):
+    df = spark.range(600).select(F.when(F.col("id") % 50 < 49, F.col("id") % 97).alias("shot_id"), "id")
+    split = S.shot_holdout(df)
+    h = {r[0]: r[1] for r in df.where("shot_id is not null").select("shot_id", S.hash48(F.col("shot_id"))).distinct().collect()}
+    first = sorted(h, key=lambda s: (h[s], str(s)))[: math.ceil(len(h) * C.TEST_SHARE)]
+    assert {r.id for r in split.where("is_test").collect()} == {r.id for r in df.collect() if r.shot_id in first}
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan  # rows stay where they are
