@@ -205,3 +205,27 @@ def test_fold_medians_of_shots(spark):
     for k in range(5):
         own = L.medians(L.log_label(df.where(F.col("fold") != k)), ["x", "_label"])
         assert got[k] == own
+
+
+def test_features_with_the_same_bins_are_counted_once(spark):
+    x, y = sample(600, 8)
+    df = frame(spark, x, y).withColumns({"e": F.col("b") * 3, "f": F.log1p("b")}).repartition(3)
+    names = ["a", "b", "c", "d", "e", "f"]
+    model, _ = L.Boosting(3, 4)._fitted(df, names, {None: L.medians(df, names)})
+    assert json.loads(model[None].stages[0].getOrDefault("document"))["features"] == FEATURES
+    alone, _ = L.Boosting(3, 4)._fitted(df, FEATURES, {None: L.medians(df, FEATURES)})
+    a, b = (L.predict(m[None], df).select(M.PREDICTED).toPandas()[M.PREDICTED] for m in (model, alone))
+    assert np.allclose(a, b, rtol=1e-12)
+
+
+def test_chunks_are_large(spark):
+    x, y = sample(400, 9)
+    df = L.log_label(frame(spark, np.tile(x, (100, 1)), np.tile(y, 100)).coalesce(1))
+    chunks = B.chunked(df, FEATURES, B.bin_edges(df, FEATURES), L._LABEL, F.lit(-1), F.lit(False), 1)
+    assert [r.n for r in chunks.collect()] == [40_000]  # batches of 10,000 rows come as one chunk
+
+
+def test_one_feature_alone(spark):
+    x, y = sample(300, 10)
+    df = frame(spark, x, y)
+    assert L.predict(L.Boosting(2, 3)(df, ["a"]), df).where(f"{M.PREDICTED} > 0").count() > 0
