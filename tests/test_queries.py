@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from toroid.operators import metrics as M
 from toroid.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +62,17 @@ def test_families_share_their_medians(spark, monkeypatch):
     monkeypatch.setattr(Q, "_SPLITS", {})
     assert QUERIES["holdout_comparison"](spark, SF).count() == 3 and len(calls) == 1
     assert QUERIES["rf_predict"](spark, SF).count() > 0 and QUERIES["feature_importance"](spark, SF).count() and len(calls) == 1
+
+
+def test_metrics_table_has_every_step(spark):
+    rows = {r.model: r for r in QUERIES["metrics_table"](spark, SF).collect()}
+    assert list(rows)[0] == "surrogate" and {"baseline", "surrogate", "crude", "doubled"} == set(rows)
+    holdout = ["holdout_mae", "holdout_rmse", "holdout_r2", "holdout_high_yield_mae", "holdout_high_yield_count"]
+    assert all(r[c] is not None for r in rows.values() for c in holdout) and rows["baseline"].cv_rmse_std > 0
+
+
+def test_a_fold_without_a_finite_error_raises(spark):
+    folds = spark.createDataFrame([("a", 0, 1.0, 2.0), ("a", 1, 3.0, None)], "model string, fold int, mae double, rmse double")
+    with pytest.raises(Exception, match="cross-validation fold 1: rmse"):
+        M.fold_summary(folds).collect()
+    assert M.fold_summary(folds.where("fold = 0")).first().cv_rmse_mean == 2.0
