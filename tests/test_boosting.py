@@ -4,6 +4,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -229,3 +230,64 @@ def test_one_feature_alone(spark):
     x, y = sample(300, 10)
     df = frame(spark, x, y)
     assert L.predict(L.Boosting(2, 3)(df, ["a"]), df).where(f"{M.PREDICTED} > 0").count() > 0
+
+
+def test_bins_of_medians_come_from_counts(spark):
+    rng = np.random.default_rng(12)
+    n = 1200
+    x = rng.normal(size=(n, 4))
+    x[:, 1] = rng.integers(0, 3, n)
+    x[:, 2] = np.arange(n) % 2 * 10.0  # the two middle values of all rows are 0 and 10
+    x[rng.random((n, 4)) < [0.2, 0.1, 0, 0]] = np.nan
+    df = frame(spark, x, np.exp(rng.normal(size=n)), 4).withColumn("gone", F.lit(None).cast("double")).repartition(3).cache()
+    names = [*FEATURES, "gone"]
+    edges = B.bin_edges(df, names, 40)
+    rows = L.log_label(df)
+    wanted = {None: L.medians(df, FEATURES)} | L.fold_medians(df, FEATURES, 4)
+    asked = []
+
+    def exact(columns):
+        asked.extend(columns)
+        return wanted
+
+    chunks = B.chunked(rows, names, edges, L._LABEL, F.col("fold"), F.lit(False), 0)
+    got = B.with_middles(chunks, names, edges, list(wanted), exact)
+    assert got.features == FEATURES and "c" in asked and "gone" not in asked
+    assert got.fills == {k: [int(B.bin_numbers(np.array([v[c]]), edges[c])[0]) for c in FEATURES] for k, v in wanted.items()}
+    assert got.rows == {k: df.where(F.col("fold") != k).count() if k is not None else n for k in wanted}
+
+
+def test_tasks_read_one_chunk_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(B, "CHUNK_ROWS", 100)
+    x, y = sample(2000, 13)
+    df = L.log_label(frame(spark, x, y).coalesce(1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        chunks = B.chunked(df, FEATURES, B.bin_edges(df, FEATURES), L._LABEL, F.lit(-1), F.lit(False), 0)
+        seen = chunks.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["rows"]) for b in bs), "rows long")
+        with B.chunk_by_chunk(spark):
+            assert {r.rows for r in seen.collect()} == {1} and chunks.count() == 20
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "100"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_codes_that_were_joined_make_the_same_chunks(spark):
+    x, y = sample(500, 14, missing=0.1)
+    df = L.log_label(frame(spark, x, y, 4).withColumn("id", F.monotonically_increasing_id()).coalesce(1))
+    edges = B.bin_edges(df, FEATURES)
+    straight = B.chunked(df, FEATURES, edges, L._LABEL, F.col("fold"), B.set_aside(FEATURES, L._LABEL), 0).drop("score").collect()
+    coded = B.coded(df, FEATURES, edges, L._LABEL, B.set_aside(FEATURES, L._LABEL), "id").withColumn("fold", F.lit(None).cast("int"))
+    got = B.chunked_codes(coded, 4).drop("score").collect()
+    assert [(r.n, r.codes, r.label, r.aside) for r in got] == [(r.n, r.codes, r.label, r.aside) for r in straight]
+    assert set(np.frombuffer(got[0].fold, np.int16)) == {-1}
+
+
+def test_fold_errors_are_those_of_the_models_predictions(spark):
+    x, y = sample(900, 15, missing=0.1)
+    df = frame(spark, x, y, 3).repartition(4).cache()
+    values, family = L.fold_medians(df, FEATURES, 3), L.Boosting(4, 3)
+    models = family.folds(df, FEATURES, values)
+    for _, k, *got in family.fold_errors(df, FEATURES, values, "boosting"):
+        own = M.sound_metrics(L.predict(models[k], df.where(F.col("fold") == k)), "", C.TARGET, M.PREDICTED)
+        assert got == pytest.approx([own["mae"], own["rmse"], own["r2"]], rel=1e-9)
